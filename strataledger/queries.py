@@ -1,11 +1,14 @@
-"""Named queries of the library and their SQL."""
+"""All named queries of the library, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from strataledger.plans import learning, ledger, statistics  # noqa: F401  (they register themselves)
+from strataledger.plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
