@@ -136,6 +136,12 @@ def log_duration_target(spark, sf_dir):
     return rows.select("tx_id", "vout", F.round(scalars.log_duration(F.col("duration"), F.col("event")), 9).alias("log_duration"))
 
 
+@register("spend_probability_target", "SELECT tx_id, vout, CAST(event AND duration <= 1000 AS DOUBLE) AS p_spend_soon FROM txo WHERE duration > 0 AND (event OR duration >= 1000)")
+def spend_probability_target(spark, sf_dir):
+    rows = features.reliable(txo(spark, sf_dir))
+    return rows.select("tx_id", "vout", scalars.is_hot(F.col("duration"), F.col("event")).cast("double").alias("p_spend_soon"))
+
+
 @register("regression_metrics", ", g AS (SELECT duration AS y, locking_script_size * CAST(100 AS DOUBLE) AS g FROM txo WHERE event AND duration > 0) SELECT count(*) AS n, round(avg(abs(g - y)), 6) AS mae, round(sqrt(avg((g - y) * (g - y))), 6) AS rmse FROM g")
 def regression_metrics(spark, sf_dir):
     rows = txo(spark, sf_dir).where("event AND duration > 0").withColumn("guess", F.col("locking_script_size") * 100.0)
@@ -234,6 +240,12 @@ def _models():
         rows = features.split(features.features(features.reliable(txo(spark, sf_dir)).where("value > 0").withColumn("target", F.lit(0)), leak_free=True), "target", 0.2, "tx_id", "vout")
         return model.evaluate_regressor(*model.train_regressor(rows, kind="linear"))
 
+    @register("gbt_lifetime", None)
+    def gbt_lifetime(spark, sf_dir):
+        """Held-out error of boosted trees for the logarithm of the duration."""
+        rows = features.split(features.features(features.reliable(txo(spark, sf_dir)).where("value > 0").withColumn("target", F.lit(0)), leak_free=True), "target", 0.2, "tx_id", "vout")
+        return model.evaluate_regressor(*model.train_regressor(rows, kind="boosted"))
+
     @register("feature_importance", None)
     def feature_importance(spark, sf_dir):
         rows = features.split(_features(spark, sf_dir, leak_free=True), "target", 0.2, "tx_id", "vout")

@@ -252,3 +252,72 @@ def benchmark_compare(spark, sf_dir):
 def outpoint_text(spark, sf_dir):
     raw = F.unhex(F.lpad(F.hex(F.col("tx_id")), 4, "0"))
     return txo(spark, sf_dir).where("tx_id < 65536").select("tx_id", "vout", scalars.outpoint_text(raw, F.col("vout")).alias("shown"))
+
+
+@register("container_statistics", f"{_LAID} SELECT container, count(*) AS n_inserts, count(*) FILTER (WHERE event) AS n_deletes, count(*) FILTER (WHERE NOT event) AS n_current, CAST(sum(locking_script_size) AS BIGINT) AS bytes, avg(locking_script_size) AS mean_size FROM laid GROUP BY 1")
+def container_statistics(spark, sf_dir):
+    return _laid(spark, sf_dir).groupBy("container").agg(
+        F.count("*").alias("n_inserts"), F.count_if("event").alias("n_deletes"), F.count_if(~F.col("event")).alias("n_current"), F.sum(F.col("locking_script_size").cast("long")).alias("bytes"), F.avg("locking_script_size").alias("mean_size")
+    )
+
+
+@register("value_size_histogram", f"{_LAID} SELECT container, locking_script_size AS size, count(*) AS n FROM laid GROUP BY 1, 2")
+def value_size_histogram(spark, sf_dir):
+    return _laid(spark, sf_dir).groupBy("container", F.col("locking_script_size").alias("size")).agg(F.count("*").alias("n"))
+
+
+@register("lifetime_histogram", "SELECT duration AS age, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY duration) AS BIGINT) AS n_up_to FROM txo WHERE event GROUP BY 1")
+def lifetime_histogram(spark, sf_dir):
+    """Erased entries by age, and how many were no older; a row a different age, so the ordered sum is over few rows."""
+    ages = txo(spark, sf_dir).where("event").groupBy(F.col("duration").alias("age")).agg(F.count("*").alias("n"))
+    return access.cumulative(ages, ["n"], "age").withColumnRenamed("total_n", "n_up_to")
+
+
+@register("deferred_queue", ", q AS (SELECT tx_id, CAST(vout % 2 AS INT) AS vout, creation_block + vout AS height FROM txo WHERE event) SELECT tx_id, vout, min(height) AS height FROM q GROUP BY 1, 2")
+def deferred_queue(spark, sf_dir):
+    """Deferred keys, each once, with the first height at which it was asked for."""
+    asked = txo(spark, sf_dir).where("event").select("tx_id", (F.col("vout") % 2).cast("int").alias("vout"), (F.col("creation_block") + F.col("vout")).alias("height"))
+    return state.deduplicate(asked, ["height"], keep="first")
+
+
+@register("dangling_pointers", "SELECT count(*) AS n FROM txo ANTI JOIN (SELECT o_orderkey AS tx_id FROM orders) t USING (tx_id)")
+def dangling_pointers(spark, sf_dir):
+    """Entries whose transaction is not there: none in a sound ledger."""
+    transactions = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("tx_id"))
+    return state.missing_keys(transactions, txo(spark, sf_dir), ["tx_id"]).agg(F.count("*").alias("n"))
+
+
+@register("hot_files", f"{_LAID}, touched AS (SELECT container, version, count(*) AS n_access FROM laid WHERE event GROUP BY 1, 2) SELECT container, version, n_access, CAST(row_number() OVER (ORDER BY n_access DESC, container, version) AS INT) AS place FROM touched ORDER BY n_access DESC, container, version LIMIT 20")
+def hot_files(spark, sf_dir):
+    """The 20 file groups that spends touch most."""
+    from pyspark.sql.window import Window
+
+    touched = _laid(spark, sf_dir).where("event").groupBy("container", "version").agg(F.count("*").alias("n_access"))
+    top = touched.orderBy(F.desc("n_access"), "container", "version").limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_access"), "container", "version")))
+
+
+@register("state_totals", f", h AS (SELECT CAST(range * {BATCH} AS INT) AS height FROM range(1, 8)) SELECT height, count(*) FILTER (WHERE creation_block <= height) AS n_created, count(*) FILTER (WHERE spent_block <= height) AS n_spent, count(*) FILTER (WHERE creation_block <= height AND (spent_block IS NULL OR spent_block > height)) AS n_live FROM h, txo GROUP BY 1")
+def state_totals(spark, sf_dir):
+    """Inserted less deleted is live, at several heights; outputs are first counted by the pair of heights at which they came and went."""
+    step = lambda c: F.ceil(F.col(c) / BATCH).cast("int")
+    moves = txo(spark, sf_dir).groupBy(step("creation_block").alias("came"), step("spent_block").alias("went")).agg(F.count("*").alias("n"))
+    heights = spark.range(1, 8).select(F.col("id").cast("int").alias("k"))
+    created, spent = F.col("came") <= F.col("k"), F.coalesce(F.col("went") <= F.col("k"), F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return F.broadcast(heights).crossJoin(moves).groupBy("k").agg(total(created).alias("n_created"), total(spent).alias("n_spent"), total(created & ~spent).alias("n_live")).select((F.col("k") * BATCH).cast("int").alias("height"), "n_created", "n_spent", "n_live")
+
+
+@register("capacity", "SELECT CAST(rate AS BIGINT) AS rate, CAST(rate * 86400 AS BIGINT) AS per_day, CAST(rate * 86400 * 365 AS BIGINT) AS per_year, CAST(rate * 600 AS BIGINT) AS per_block FROM (SELECT unnest([1000::BIGINT, 114000, 202000]) AS rate)", "")
+def capacity(spark, sf_dir):
+    """Transactions a day, a year and a block of ten minutes at given rates a second."""
+    rate = F.col("rate").cast("long")
+    return spark.createDataFrame([(1000,), (114_000,), (202_000,)], "rate long").select("rate", (rate * 86_400).alias("per_day"), (rate * 86_400 * 365).alias("per_year"), (rate * 600).alias("per_block"))
+
+
+@register("activity_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2", "")
+def activity_windows(spark, sf_dir):
+    """The windowed aggregate of the event stream, here over the whole table at once."""
+    from strataledger.streaming.matching import windowed_activity
+
+    return windowed_activity(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 6))

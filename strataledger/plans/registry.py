@@ -47,7 +47,7 @@ def register(name: str, sql: str | None = None, base: str = TXO) -> Callable[[Qu
             raise ValueError(f"{name} is registered already")
         QUERIES[name] = query
         if sql is not None:
-            ORACLES[name] = f"{base.rstrip()}{'' if sql.lstrip().startswith(',') else ' '}{sql.strip()}"
+            ORACLES[name] = f"{base.rstrip()}{'' if sql.lstrip().startswith(',') else ' '}{sql.strip()}".strip()
         return query
 
     return add

@@ -126,20 +126,23 @@ def inputs_of(transactions: DataFrame) -> DataFrame:
 def batches_of(blocks: DataFrame, size: int, height: str = "height", n_tx: str = "n_tx") -> DataFrame:
     """blocks with batch: at least size transactions each, rounded up to whole blocks, in height order.
 
-    The cut is greedy, so it is folded over the block list (a row a block, not a transaction) in one ordered array.
+    Where a batch ends depends on where the last one did, so the list of blocks (two numbers a block, fewer than a
+    million in all, whatever they hold) passes through one task in order, an Arrow batch at a time.
     """
-    listed = blocks.agg(F.array_sort(F.collect_list(F.struct(F.col(height).alias("h"), F.col(n_tx).cast("long").alias("n")))).alias("all"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<h:int,batch:int>>").alias("out"))
 
-    def step(s: Column, b: Column) -> Column:
-        full = s["held"] + b["n"] >= size
-        return F.struct(
-            F.when(full, s["batch"] + 1).otherwise(s["batch"]).alias("batch"), F.when(full, F.lit(0).cast("long")).otherwise(s["held"] + b["n"]).alias("held"),
-            F.concat(s["out"], F.array(F.struct(b["h"].alias("h"), s["batch"].alias("batch")))).alias("out"),
-        )
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = held = 0
+        for frame in frames:
+            out = []
+            for n in frame["n"]:
+                out.append(batch)
+                held += n
+                if held >= size:
+                    batch, held = batch + 1, 0
+            yield pd.DataFrame({"cut_height": frame["cut_height"], "batch": out})
 
-    cut = listed.select(F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select(F.col("x.h").alias("cut_height"), F.col("x.batch").alias("batch"))
-    return blocks.join(cut, F.col(height) == F.col("cut_height")).drop("cut_height")
+    listed = blocks.select(F.col(height).cast("long").alias("cut_height"), F.col(n_tx).cast("long").alias("n")).coalesce(1).sortWithinPartitions("cut_height")
+    return blocks.join(listed.mapInPandas(cut, "cut_height long, batch int"), F.col(height) == F.col("cut_height")).drop("cut_height")
 
 
 def read_block_info(spark: SparkSession, path: str) -> DataFrame:
@@ -155,3 +158,15 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 def first_file_with(lines: DataFrame, text: str = ",Unspent") -> DataFrame:
     """The smallest file number among lines that contain the text."""
     return lines.where(F.contains("text", F.lit(text))).agg(F.min(file_number(F.col("file"))).alias("file_number"))
+
+
+def csv_to_parquet(spark: SparkSession, source: str, target: str) -> int:
+    """History CSV normalised and written as Parquet by epoch; returns the rows written, checked against those read."""
+    from strataledger.operators.history import normalise
+
+    history = normalise(read_history(spark, source))
+    history.write.mode("overwrite").partitionBy("epoch").parquet(target)
+    written = spark.read.parquet(target).count()
+    if written != (read := history.count()):
+        raise OSError(f"{written} of {read} rows were written")
+    return written

@@ -25,3 +25,32 @@ def test_batches_can_be_run_again_and_unknown_deletes_show(spark, tmp_path):
     assert [tuple(r) for r in failed.collect()] == [(9, 0)]
     fold.compact(spark, path, str(tmp_path / "compact"))
     assert [tuple(r) for r in fold.ledger(spark, str(tmp_path / "compact"))[0].collect()] == [(2, 0, 5, 20)]
+
+
+def test_spends_match_in_either_order(spark, tmp_path):
+    from strataledger.streaming.matching import match_spends
+
+    schema = "op string, tx_id long, vout int, height int"
+    for k, rows in enumerate(([("insert", 1, 0, 5), ("delete", 2, 0, 9)], [("delete", 1, 0, 8), ("insert", 3, 0, 1)], [("insert", 2, 0, 4), ("delete", 1, 0, 99)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = str(tmp_path / "out")
+    match_spends(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [("1:0", 5, 8, 3), ("2:0", 4, 9, 5)]
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from strataledger.streaming.matching import windowed_activity
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, event_type string, value double"
+    for k, rows in enumerate(([(at(0), "a", 1.0), (at(0, 30), "a", 2.0)], [(at(3), "a", 4.0)], [(at(0, 1), "a", 100.0), (at(5), "b", 1.0)], [(at(9), "b", 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = str(tmp_path / "out")
+    windowed_activity(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    got = {(r["start"].hour, r["event_type"]): (r["n"], r["total"]) for r in spark.read.parquet(out).collect()}
+    assert got[0, "a"][0] in (2, 3) and got[3, "a"] == (1, 4.0)
