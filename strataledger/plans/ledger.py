@@ -59,11 +59,13 @@ def state_at_height(spark, sf_dir):
     return state.state_at(txo(spark, sf_dir), HEIGHT).select(*KEY, "creation_block", "value")
 
 
-_WANTED = ", w AS (SELECT tx_id, CAST(vout + CASE WHEN tx_id % 7 = 0 THEN 1000 ELSE 0 END AS INT) AS vout FROM txo WHERE tx_id % 3 = 0)"
+_WANTED = f", w AS (SELECT tx_id, CAST(vout + CASE WHEN op_return THEN 1000 ELSE 0 END AS INT) AS vout FROM txo WHERE spent_block >= {LOW} AND spent_block < {HIGH})"
 
 
 def _wanted(spark, sf_dir):
-    return txo(spark, sf_dir).where("tx_id % 3 = 0").select("tx_id", (F.col("vout") + F.when(F.col("tx_id") % 7 == 0, 1000).otherwise(0)).cast("int").alias("vout"))
+    """The outpoints that a range of blocks spends; those of OP_RETURN outputs with an index that does not exist."""
+    rows = txo(spark, sf_dir).where(f"spent_block >= {LOW} AND spent_block < {HIGH}")
+    return rows.select("tx_id", (F.col("vout") + F.when(F.col("op_return"), 1000).otherwise(0)).cast("int").alias("vout"))
 
 
 @register("bulk_lookup", f"{_WANTED} SELECT w.tx_id, w.vout, t.creation_block, t.value, t.tx_id IS NOT NULL AS found FROM w LEFT JOIN txo t ON w.tx_id = t.tx_id AND w.vout = t.vout")
@@ -112,9 +114,9 @@ def dedup_last(spark, sf_dir):
     return state.deduplicate(_repeated(spark, sf_dir), ["write"], keep="last")
 
 
-@register("lookup_workload", f", h AS (SELECT tx_id, vout FROM txo WHERE spent_block >= {LOW} AND spent_block < {HIGH} AND creation_block < {LOW}) SELECT tx_id, vout, true AS should_exist FROM h UNION ALL SELECT -tx_id - 1, vout, false FROM h WHERE tx_id % 10 = 0")
+@register("lookup_workload", f", h AS (SELECT tx_id, vout FROM txo WHERE spent_block >= {LOW} AND spent_block < {HIGH} AND creation_block < {LOW}) SELECT tx_id, vout, true AS should_exist FROM h UNION ALL SELECT -tx_id - 1, vout, false FROM h")
 def lookup_workload(spark, sf_dir):
-    return state.lookup_workload(txo(spark, sf_dir), LOW, HIGH, misses=10)
+    return state.lookup_workload(txo(spark, sf_dir), LOW, HIGH, misses=1)
 
 
 _CLASS = "CAST(CASE WHEN locking_script_size <= 44 THEN 0 WHEN locking_script_size <= 128 THEN 1 WHEN locking_script_size <= 512 THEN 2 ELSE 3 END AS INT)"
@@ -143,9 +145,9 @@ def zone_map(spark, sf_dir):
     return state.zone_map(_laid(spark, sf_dir))
 
 
-@register("zone_pruned_lookup", f"{_LAID}, z AS ({_ZONES}), w AS (SELECT DISTINCT tx_id FROM txo WHERE tx_id % 50 = 0) SELECT tx_id, count(min_key) AS n_zones FROM w LEFT JOIN z ON tx_id BETWEEN min_key AND max_key GROUP BY 1")
+@register("zone_pruned_lookup", f"{_LAID}, z AS ({_ZONES}), w AS (SELECT DISTINCT tx_id FROM txo) SELECT tx_id, count(min_key) AS n_zones FROM w LEFT JOIN z ON tx_id BETWEEN min_key AND max_key GROUP BY 1")
 def zone_pruned_lookup(spark, sf_dir):
-    wanted = txo(spark, sf_dir).where("tx_id % 50 = 0").select("tx_id").distinct()
+    wanted = txo(spark, sf_dir).select("tx_id").distinct()
     return state.zone_candidates(wanted, state.zone_map(_laid(spark, sf_dir)))
 
 
@@ -216,9 +218,9 @@ def filtered_scan(spark, sf_dir):
 _PACKED = "(CAST(container AS BIGINT) << 62) | (CAST(version AS BIGINT) << 46) | tx_id"
 
 
-@register("pointer_pack", f", laid AS (SELECT *, CAST(CASE WHEN locking_script_size <= 44 THEN 0 ELSE 1 END AS INT) AS container, CAST(creation_block // 50000 AS INT) AS version FROM txo) SELECT DISTINCT CAST({_PACKED} AS BIGINT) AS pointer, container, version, tx_id AS position FROM laid WHERE tx_id % 20 = 0")
+@register("pointer_pack", f", laid AS (SELECT *, CAST(CASE WHEN locking_script_size <= 44 THEN 0 ELSE 1 END AS INT) AS container, CAST(creation_block // 50000 AS INT) AS version FROM txo) SELECT DISTINCT CAST({_PACKED} AS BIGINT) AS pointer, container, version, tx_id AS position FROM laid")
 def pointer_pack(spark, sf_dir):
-    rows = _laid(spark, sf_dir).where("tx_id % 20 = 0").select(F.least("container", F.lit(1)).alias("c"), F.col("version").alias("v"), "tx_id").distinct()
+    rows = _laid(spark, sf_dir).select(F.least("container", F.lit(1)).alias("c"), F.col("version").alias("v"), "tx_id").distinct()
     packed = rows.select(scalars.pack_pointer(F.col("c"), F.col("v"), F.col("tx_id")).alias("pointer"))
     container, version, position = scalars.unpack_pointer(F.col("pointer"))
     return packed.select("pointer", container.alias("container"), version.alias("version"), position.alias("position"))
@@ -248,10 +250,10 @@ def benchmark_compare(spark, sf_dir):
     return access.compare_benchmarks(_rates(spark, sf_dir, 10), _rates(spark, sf_dir, 25))[1]
 
 
-@register("outpoint_text", "SELECT tx_id, vout, lpad(printf('%x', tx_id % 256), 2, '0') || lpad(printf('%x', tx_id // 256 % 256), 2, '0') || ':' || vout AS shown FROM txo WHERE tx_id < 65536")
+@register("outpoint_text", "SELECT tx_id, vout, lpad(printf('%x', tx_id % 256), 2, '0') || lpad(printf('%x', tx_id // 256 % 256), 2, '0') || lpad(printf('%x', tx_id // 65536 % 256), 2, '0') || lpad(printf('%x', tx_id // 16777216 % 256), 2, '0') || ':' || vout AS shown FROM txo")
 def outpoint_text(spark, sf_dir):
-    raw = F.unhex(F.lpad(F.hex(F.col("tx_id")), 4, "0"))
-    return txo(spark, sf_dir).where("tx_id < 65536").select("tx_id", "vout", scalars.outpoint_text(raw, F.col("vout")).alias("shown"))
+    raw = F.unhex(F.lpad(F.hex(F.col("tx_id")), 8, "0"))
+    return txo(spark, sf_dir).select("tx_id", "vout", scalars.outpoint_text(raw, F.col("vout")).alias("shown"))
 
 
 @register("container_statistics", f"{_LAID} SELECT container, count(*) AS n_inserts, count(*) FILTER (WHERE event) AS n_deletes, count(*) FILTER (WHERE NOT event) AS n_current, CAST(sum(locking_script_size) AS BIGINT) AS bytes, avg(locking_script_size) AS mean_size FROM laid GROUP BY 1")
