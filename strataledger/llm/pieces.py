@@ -15,23 +15,30 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from strataledger.llm.common import ship
 
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-#: Words a worker keeps the ids of.
-REMEMBERED = 300_000
+#: Words a worker keeps the ids of, as many again from before the last clearing.
+REMEMBERED = 200_000
 #: Words up to this long are folded by scanning neighbours, longer ones with a heap.
 SHORT = 48
+#: Texts whose ids leave a task at a time.
+SLICE = 200
+
+_NEVER = float("inf")
 
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -48,14 +55,32 @@ class Pieces:
     unknown: int
     prefix: bool = True
     squeeze: bool = False
-    memory: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    memory: dict[str, array] = field(default_factory=dict, repr=False)
+    older: dict[str, array] = field(default_factory=dict, repr=False)
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.id), default=0)
 
+    @cached_property
+    def order(self) -> dict[str, float]:
+        """Pieces by how early they are joined."""
+        return {p: -s for p, s in self.score.items()}
+
+    @cached_property
+    def shown(self) -> list[str]:
+        """What each id shows on its own; bytes from 128 on need their neighbours."""
+        out = [" ⁇ " if i == self.unknown else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
+        for b, i in enumerate(self.byte_ids[:128]):
+            out[i] = chr(b)
+        return out
+
+    @cached_property
+    def high_bytes(self) -> frozenset[int]:
+        return frozenset(self.byte_ids[128:])
+
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("order", "shown", "high_bytes")} | {"memory": {}, "older": {}}
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,23 +161,20 @@ def _viterbi(word: str, table: Pieces) -> list[str]:
 
 def _merged(word: str, table: Pieces) -> list[str]:
     """Neighbours joined while the lattice has an edge over both: the best score first, leftmost of equals."""
-    score = table.score
     if len(word) <= SHORT:
-        parts = list(word)
-        have = [score.get(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]
-        while True:
-            best, at = None, -1
-            for k, s in enumerate(have):
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get, parts = table.order.get, list(word)
+        have = [get(a + b, _NEVER) for a, b in zip(word, word[1:])]
+        while have and (best := min(have)) != _NEVER:
+            at = have.index(best)
+            joined = parts[at] + parts[at + 1]
+            parts[at : at + 2] = (joined,)
             del have[at]
             if at:
-                have[at - 1] = score.get(parts[at - 1] + parts[at])
+                have[at - 1] = get(parts[at - 1] + joined, _NEVER)
             if at < len(have):
-                have[at] = score.get(parts[at] + parts[at + 1])
+                have[at] = get(joined + parts[at + 1], _NEVER)
+        return parts
+    score = table.score
     n = len(word)
     parts, after, before = list(word), [*range(1, n), -1], [-1, *range(n - 1)]
     heap = [(-s, k, k + 1, parts[k] + parts[k + 1]) for k in range(n - 1) if (s := score.get(parts[k] + parts[k + 1])) is not None]
@@ -171,71 +193,88 @@ def _merged(word: str, table: Pieces) -> list[str]:
     return [p for p in parts if p]
 
 
-def _ids(parts: list[str], table: Pieces) -> tuple[int, ...]:
-    out = []
-    for p in parts:
-        if (i := table.id.get(p)) is not None:
+def _ids(parts: list[str], table: Pieces) -> array:
+    found = list(map(table.id.get, parts))
+    if None not in found:
+        return array("i", found)
+    out = array("i")
+    for p, i in zip(parts, found, strict=True):
+        if i is not None:
             out.append(i)
         elif table.byte_ids:
             out.extend(table.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
         else:
             out.append(table.unknown)
-    return tuple(out)
+    return out
 
 
-def word_ids(word: str, table: Pieces) -> tuple[int, ...]:
-    known = table.memory.get(word)
-    if known is None:
-        known = _ids((_merged if table.kind == BPE else _viterbi)(word, table), table)
-        if len(word) <= SHORT:
-            if len(table.memory) >= REMEMBERED:
-                table.memory.clear()
-            table.memory[word] = known
+def word_ids(word: str, table: Pieces) -> array:
+    """A word's ids; frequent words are remembered, in two generations so that clearing one does not lose them."""
+    known = table.older.get(word) or _ids((_merged if table.kind == BPE else _viterbi)(word, table), table)
+    if len(word) <= SHORT:
+        if len(table.memory) >= REMEMBERED:
+            table.memory, table.older = {}, table.memory
+        table.memory[word] = known
     return known
 
 
-def encode_text(text: str | None, table: Pieces) -> list[int]:
-    out: list[int] = []
+def encode_text(text: str | None, table: Pieces) -> array:
+    out = array("i")
+    add = out.extend
     for word in _UNITS.findall(prepared(text or "", table)):
-        out.extend(word_ids(word, table))
+        add(table.memory.get(word) or word_ids(word, table))
     return out
 
 
 def decode_ids(ids, table: Pieces) -> str:
     """The text that ids stand for: pieces in a row, bytes joined to characters, U+2581 as blank, the first blank dropped."""
-    first = table.byte_ids[0] if table.byte_ids else 0
-    of_byte = {i: k for k, i in enumerate(table.byte_ids)} if first else {}
-    out, pending = [], bytearray()
-    for i in ids:
-        if i in of_byte:
-            pending.append(of_byte[i])
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending.clear()
-        out.append(" ⁇ " if i == table.unknown else table.pieces[i])
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
-    text = "".join(out).replace(BLANK, " ")
+    shown = table.shown
+    if table.high_bytes.isdisjoint(ids):
+        text = "".join([shown[i] for i in ids])
+    else:
+        of_byte = {i: b for b, i in enumerate(table.byte_ids)}
+        out, pending = [], bytearray()
+        for i in ids:
+            if i in of_byte:
+                pending.append(of_byte[i])
+                continue
+            if pending:
+                out.append(pending.decode("utf-8", "replace"))
+                pending.clear()
+            out.append(shown[i])
+        text = "".join(out) + pending.decode("utf-8", "replace")
     return text[1:] if table.prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", verify: bool = False) -> DataFrame:
     """docs packed as (row, ids array<int>): the pieces of each whole text, without begin or end.
 
     The ids are those of the model's library. Null and empty texts have no ids; a word of any length is folded whole.
+    verify adds round_trip: whether decoding the ids gives the text back, U+2581 in it read as a blank.
     Repeated rows get the same ids; other columns stay inside ``row`` and cannot clash; empty tables give no rows.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))  # of the model's size, whatever the corpus
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for texts in batches:
-            yield pd.Series([np.array(encode_text(t, table), np.int32) for t in texts], dtype=object)
-
-    return docs.select(F.struct("*").alias("row")).select("row", ids(F.col(f"row.`{text}`")).alias("ids"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [t or "" for t in part.column(0).field(text).to_pylist()]
+                offsets, ids, same = array("i", [0]), array("i"), []
+                for t in texts:
+                    found = encode_text(t, table)
+                    if verify:
+                        same.append(decode_ids(found, table) == t.replace(BLANK, " "))
+                    ids.extend(found)
+                    offsets.append(len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *([pa.array(same, pa.bool_())] if verify else [])], ["row", "ids", *["round_trip"] * verify])
+
+    packed = docs.select(F.struct("*").alias("row"))
+    made = [StructField("ids", ArrayType(IntegerType())), *([StructField("round_trip", BooleanType())] if verify else [])]
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, *made]))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> Column:
@@ -279,6 +318,22 @@ def encode_words(words: DataFrame, table: Pieces, word: str = "word") -> DataFra
     return lattice.select("word", fold(F.col("word"), F.col("edges"), min(table.score.values(), default=0.0) - 10.0).alias("pieces"))
 
 
+def encode_relational(docs: DataFrame, table: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pieces array<string>) of documents that have a word, all by joins: words with their places, the distinct
+    words' pieces from encode_words, and both grouped by document. key must name one row each.
+
+    It shuffles every word of the corpus twice; encode gives the same pieces without a shuffle.
+    """
+    blank = F.lit(BLANK)
+    body = F.replace(F.col(text), F.lit(" "), blank)
+    if table.prefix:
+        body = F.concat(blank, body)
+    words = F.regexp_extract_all(body, F.lit(f"{BLANK}*[^{BLANK}]+|{BLANK}+"), F.lit(0))
+    placed = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.posexplode(words).alias("place", "word"))
+    found = placed.join(encode_words(placed, table), "word")
+    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).alias("all")).select(F.col("key").alias(key), F.flatten(F.transform("all", lambda x: x["pieces"])).alias("pieces"))
+
+
 def _viterbi_fold(word: Column, lattice: Column, worst: float) -> Column:
     """Over end positions: the best (score, pieces) up to each, from those of the positions before."""
     nothing = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("pieces")))

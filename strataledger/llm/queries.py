@@ -38,9 +38,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, round_trip (decoding gives the text back, U+2581 in it read as blank), ids."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = F.replace(F.coalesce(F.col("row.text"), F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
-    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), (pieces.decode(encoded) == text).alias("round_trip"), "ids")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
