@@ -24,24 +24,23 @@ from strataledger.llm.components import connected_components
 COSINE = 0.95
 SAMPLE, ITERATIONS = 4096, 50
 BITS, CHUNKS, MAX_DISTANCE = 64, 8, 18
-BLOCK, GROUP_ROWS, PAIRS_AT_ONCE = 512, 4000, 200_000
+BLOCK, GROUP_ROWS, PAIRS_AT_ONCE = 512, 4000, 100_000
 
 _TABLES = list(combinations(range(CHUNKS), 2))
 
 
-def learn_rotation(sample: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): signs of (x - mean) @ projection are the code. sample: unit vectors, a row each.
+def learn_rotation(sample: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 5) -> np.ndarray:
+    """The projection whose signs are the code: sign(x @ projection). sample: unit vectors, a row each.
 
     Principal directions first, then alternating steps: the nearest signs for the rotation, and the rotation that
-    brings the projected sample nearest to them. Fewer directions than bits are made up by random ones.
+    brings the projected sample nearest to them. Fewer directions than bits are made up by random ones. Nothing is
+    centred: cosines are about the origin, and about any other point near vectors could look far apart.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    values, vectors = np.linalg.eigh(centred.T @ centred)
+    values, vectors = np.linalg.eigh(sample.T @ sample)
     basis = vectors[:, np.argsort(-values)][:, :bits]
-    projected = centred @ basis
+    projected = sample @ basis
     rotation, _ = np.linalg.qr(rng.standard_normal((basis.shape[1], basis.shape[1])))
     for _ in range(iterations):
         signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
@@ -50,11 +49,11 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, iterations: int = ITERA
     learnt = basis @ rotation
     if learnt.shape[1] < bits:
         learnt = np.hstack([learnt, rng.standard_normal((dim, bits - learnt.shape[1]))])
-    return mean, learnt
+    return learnt
 
 
-def encode(units: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = ((units - mean) @ projection >= 0).astype(np.uint8)
+def encode(units: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    bits = (units @ projection >= 0).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
@@ -173,10 +172,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: s
         model = spark.sparkContext.broadcast(learn_rotation(np.stack([np.frombuffer(r["unit"], np.float64) for r in sample])))
 
         def code(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            mean, projection = model.value
+            projection = model.value
             for batch in batches:
-                units = np.stack([np.frombuffer(x, np.float64) for x in batch["unit"]]) if len(batch) else np.zeros((0, len(mean)))
-                yield pd.DataFrame({"rep": batch["rep"], "copies": batch["copies"], "code": encode(units, mean, projection).view(np.int64) if len(batch) else np.zeros(0, np.int64)})
+                units = np.stack([np.frombuffer(x, np.float64) for x in batch["unit"]]) if len(batch) else np.zeros((0, len(projection)))
+                yield pd.DataFrame({"rep": batch["rep"], "copies": batch["copies"], "code": encode(units, projection).view(np.int64) if len(batch) else np.zeros(0, np.int64)})
 
         codes = cut(own.select("rep", "copies", "unit").mapInPandas(code, "rep long, copies long, code long"))
         chunk = lambda c: F.shiftrightunsigned("code", 8 * c).bitwiseAND(F.lit(255))
