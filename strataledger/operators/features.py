@@ -38,6 +38,16 @@ def sample(df: DataFrame, fraction: float, *columns: str) -> DataFrame:
     return df.where(hashed(*columns) < int(fraction * 1_000_000))
 
 
+def capped_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most `most` rows, those of the smallest hash: a bounded training set of any table."""
+    return df.orderBy(hashed(*columns), *columns).limit(most)
+
+
+def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows in a seeded order."""
+    return df.orderBy(F.rand(seed))
+
+
 def split(df: DataFrame, label: str, test: float, *columns: str) -> DataFrame:
     """df with part 'train' or 'test'; every class is split by the same hash, so shares agree within chance."""
     return df.withColumn("part", F.when(hashed(*columns) < int(test * 1_000_000), "test").otherwise("train"))

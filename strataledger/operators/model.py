@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -118,6 +120,82 @@ def trees_as_json(fitted: PipelineModel) -> str:
     return json.dumps({"features": FEATURES, "mean": scaler and scaler.mean.toArray().tolist(), "std": scaler and scaler.std.toArray().tolist(), "weights": list(trees.treeWeights), "trees": out})
 
 
+MAGIC = b"STLF"
+
+
+def trees_as_binary(fitted: PipelineModel) -> bytes:
+    """The trees as flat records: magic, features, trees; per tree its weight and nodes (feature or -1, threshold or value, right child; the left one follows)."""
+    out = json.loads(trees_as_json(fitted))
+    raw = [MAGIC, struct.pack("<II", len(out["features"]), len(out["trees"]))]
+    for f, mean, std in zip(out["features"], out["mean"] or [0.0] * len(out["features"]), out["std"] or [1.0] * len(out["features"]), strict=True):
+        raw.append(struct.pack("<H", len(f)) + f.encode() + struct.pack("<dd", mean, std))
+    for weight, tree in zip(out["weights"], out["trees"], strict=True):
+        nodes = _flat(tree)
+        raw.append(struct.pack("<dI", weight, len(nodes)) + b"".join(struct.pack("<idi", *n) for n in nodes))
+    return b"".join(raw)
+
+
+def _flat(tree: dict) -> list[tuple[int, float, int]]:
+    if "value" in tree:
+        return [(-1, tree["value"], -1)]
+    left, right = _flat(tree["left"]), _flat(tree["right"])
+    move = lambda nodes, by: [(f, x, c if c < 0 else c + by) for f, x, c in nodes]
+    return [(tree["feature"], tree["threshold"], 1 + len(left)), *move(left, 1), *move(right, 1 + len(left))]
+
+
+def score_binary(raw: bytes, row: list[float]) -> float:
+    """The probability that the trees of trees_as_binary give to a row of features."""
+    if raw[:4] != MAGIC:
+        raise ValueError("not a file of trees")
+    n_features, n_trees = struct.unpack_from("<II", raw, 4)
+    at, x = 12, []
+    for k in range(n_features):
+        (size,) = struct.unpack_from("<H", raw, at)
+        mean, std = struct.unpack_from("<dd", raw, at + 2 + size)
+        x.append((row[k] - mean) / std if std else 0.0)
+        at += 18 + size
+    margin = 0.0
+    for _ in range(n_trees):
+        weight, n = struct.unpack_from("<dI", raw, at)
+        at, node = at + 12, 0
+        while True:
+            feature, value, right = struct.unpack_from("<idi", raw, at + 16 * node)
+            if feature < 0:
+                break
+            node = node + 1 if x[feature] <= value else right
+        margin += weight * value
+        at += 16 * n
+    return 1 / (1 + math.exp(-2 * margin))
+
+
+def trees_as_header(fitted: PipelineModel, name: str = "hot_cold") -> str:
+    """A C++ header with one function from features to the probability."""
+    out = json.loads(trees_as_json(fitted))
+
+    def code(t: dict, depth: int) -> str:
+        pad = "    " * depth
+        if "value" in t:
+            return f"{pad}return {t['value']!r};\n"
+        return f"{pad}if (x[{t['feature']}] <= {t['threshold']!r}) {{\n{code(t['left'], depth + 1)}{pad}}}\n{code(t['right'], depth)}"
+
+    mean, std = (", ".join(map(repr, out[k] or [d] * len(out["features"]))) for k, d in (("mean", 0.0), ("std", 1.0)))
+    trees = "".join(f"inline double tree_{k}(double const* x) {{\n{code(t, 1)}}}\n" for k, t in enumerate(out["trees"]))
+    total = " + ".join(f"{w!r} * tree_{k}(x)" for k, w in enumerate(out["weights"]))
+    n = len(out["features"])
+    return (
+        f"// features: {', '.join(out['features'])}\n#pragma once\n#include <cmath>\nnamespace {name} {{\nconstexpr int n_features = {n};\n{trees}inline double probability(double const* raw) {{\n"
+        f"    constexpr double mean[] = {{{mean}}}, dev[] = {{{std}}};\n    double x[n_features];\n    for (int i = 0; i < n_features; ++i) x[i] = dev[i] != 0 ? (raw[i] - mean[i]) / dev[i] : 0;\n"
+        f"    return 1 / (1 + std::exp(-2 * ({total})));\n}}\n}}\n"
+    )
+
+
+def onnx_inputs(path: str) -> list[tuple[str, list]]:
+    """Names and shapes of an ONNX model's inputs."""
+    import onnxruntime
+
+    return [(i.name, i.shape) for i in onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"]).get_inputs()]
+
+
 def score_onnx(rows: DataFrame, path: str, names: list[str] = FEATURES) -> DataFrame:
     """rows with p from an ONNX classifier whose second output holds (cold, hot) probabilities; Arrow batches, one session a task.
 

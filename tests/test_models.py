@@ -59,3 +59,31 @@ def test_importances(spark, trained):
 
 def test_features_are_seventeen():
     assert len(features.FEATURES) == 17 and len(set(features.FEATURES)) == 17
+
+
+def test_binary_trees_and_header(trained, tmp_path):
+    import shutil
+    import subprocess
+
+    fitted, scored = trained
+    raw, header = model.trees_as_binary(fitted), model.trees_as_header(fitted)
+    rows = scored.limit(15).collect()
+    for r in rows:
+        assert model.score_binary(raw, [r[f] for f in features.FEATURES]) == pytest.approx(r["p"], abs=1e-9)
+    with pytest.raises(ValueError):
+        model.score_binary(b"none" + raw[4:], [])
+    assert "n_features = 17" in header and header.count("inline double tree_") == 4
+    if shutil.which("g++") and subprocess.run(["g++", "-fsyntax-only", "-x", "c++", "-"], input="int main() {}", text=True, capture_output=True).returncode == 0:
+        (tmp_path / "m.hpp").write_text(header)
+        values = "\n".join("{ double x[] = {%s}; printf(\"%%.12f\\n\", hot_cold::probability(x)); }" % ", ".join(repr(float(r[f])) for f in features.FEATURES) for r in rows)
+        (tmp_path / "m.cpp").write_text('#include <cstdio>\n#include "m.hpp"\nint main() {\n' + values + "\n}\n")
+        subprocess.run(["g++", "-std=c++17", "-o", tmp_path / "m", tmp_path / "m.cpp"], check=True)
+        out = subprocess.run([tmp_path / "m"], capture_output=True, text=True, check=True).stdout.split()
+        assert [float(x) for x in out] == pytest.approx([r["p"] for r in rows], abs=1e-9)
+
+
+def test_capped_sample(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    got = sorted(r["k"] for r in features.capped_sample(df, 20, "k").collect())
+    assert len(got) == 20 and got == sorted(r["k"] for r in features.capped_sample(df.repartition(7), 20, "k").collect())
+    assert sorted(r["k"] for r in features.shuffled(df).collect()) == list(range(500))

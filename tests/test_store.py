@@ -83,3 +83,23 @@ def test_report(spark, tmp_path):
     report.write(str(tmp_path / "r.txt"), text)
     assert "n_spent: 3,185" in (tmp_path / "r.txt").read_text() and "Segments" in text
     assert report.labelled((0, 10, float("inf")), True) == ["(0, 10]", "(10, inf]"] and report.labelled((0, 10), False) == ["[0, 10)"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_replay_and_timed_lookups(spark, tmp_path):
+    from strataledger.operators import ingest
+    from strataledger.operators.state import lookup_workload
+    from strataledger.sources.txo import txo
+
+    rows = txo(spark, SF).cache()
+    store = Store(spark, str(tmp_path / "db"))
+    done = ingest.replay(store, rows, blocks=250_000, compact_every=2)
+    assert store.count() == rows.where("NOT event").count() and done[-1].total_inserts - done[-1].total_deletes == store.count()
+    assert ingest.as_dicts(done)[-1]["rate"] > 0 and ingest.batches_table(store, done).count() == len(done)
+    half = Store(spark, str(tmp_path / "half"))
+    ingest.replay(half, rows.where("creation_block < 300000").selectExpr("tx_id", "vout", "creation_block", "CASE WHEN spent_block < 300000 THEN spent_block END AS spent_block", "value", "locking_script_size"), blocks=300_000)
+    got = ingest.timed_lookups(half, lookup_workload(rows, 300_000, 400_000, misses=1), [1, 3], repeats=1).collect()
+    assert all(r["unexpected"] == 0 and r["found"] > 0 for r in got)
+    with pytest.raises(RuntimeError, match="unknown keys"):
+        ingest.replay(Store(spark, str(tmp_path / "bad")), rows.where("creation_block >= 300000").selectExpr("tx_id", "vout", "creation_block", "CAST(0 AS INT) AS spent_block", "value", "locking_script_size"), blocks=300_000)
+    rows.unpersist()
