@@ -106,20 +106,58 @@ def test_token_contract(spark, duck):
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in rows} == {i: (len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in texts.items()}
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_against_plain_versions(spark):
+    """Each stage over all that the one before kept, held against a plain version of its operator."""
+    import re
+    from collections import Counter
+
+    import sentencepiece
+    from test_graph import filled, reach, shingle_set
+    from test_text import naive_lines
+
     import corpus_pipeline
+    from strataledger.llm import line_dedup, pieces, token_counts
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before, counts = docs, []
+    rows, kept = docs.collect(), [docs.collect()]
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, SF)
-        rows = after.collect()
-        counts.append((name, len(rows)))
+        after = stage(spark, spark.createDataFrame(kept[-1], docs.schema), SF)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert after.columns == docs.columns
-            before = spark.createDataFrame(rows, docs.schema)
-    by = dict(counts)
-    assert by["quality classifier"] < docs.count() and by["line dedup"] == by["quality classifier"]
-    assert by["MinHash near-dedup"] < by["line dedup"]
-    assert by["SentencePiece encoding and decoding"] == by["mixing sources to target weights"]
-    assert corpus_pipeline.run(spark, SF).count() == counts[-1][1]
+        kept.append(after.collect())
+    _, good, lined, single, mixed, encoded = kept
+
+    judged = {r["doc_id"] for r in queries.queries()["op4_quality"](spark, SF).collect() if r["predicted"] == 1}
+    assert {r["doc_id"] for r in good} == judged and len(good) < len(rows)
+    assert set(map(tuple, good)) <= set(map(tuple, rows))
+
+    plain = naive_lines([(r["doc_id"], r["text"], r["source"]) for r in good], line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in lined) == plain
+    assert all(r["n_chars"] == len(r["text"]) for r in lined)
+
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in lined}
+    post = {}
+    for i, x in ((i, x) for i, found in sets.items() for x in found):
+        post.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in post.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    group = reach(sets, [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert Counter(group[r["doc_id"]] for r in single) == Counter(set(group.values()))
+    assert set(map(tuple, single)) <= set(map(tuple, lined))
+
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in single}
+    sizes = Counter()
+    for r in single:
+        sizes[r["source"]] += words[r["doc_id"]]
+    target = filled(dict(sizes), {x: (5.0, 2.0, 1.0)[k % 3] for k, x in enumerate(sorted(sizes))}, 3.0)
+    taken = Counter()
+    for r in mixed:
+        taken[r["source"]] += words[r["doc_id"]]
+    assert all(abs(taken[x] - t) <= 0.02 * t for x, t in target.items())
+    assert set(map(tuple, mixed)) <= set(map(tuple, single)) and max(Counter(r["doc_id"] for r in mixed).values()) <= 3
+
+    told = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path(pieces.MODEL))
+    text = {r["doc_id"]: r["text"] for r in single}
+    assert Counter(r["doc_id"] for r in encoded) == Counter(r["doc_id"] for r in mixed)
+    assert all(list(r["ids"]) == told.encode(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in encoded)
+
+    assert corpus_pipeline.run(spark, SF).count() == len(encoded)
