@@ -30,9 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held several times over on its way.
+ARROW_ROWS = 500
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a session, wherever the driver has it from."""
-    context = spark.sparkContext
+    """Send this package to the executors' Python, once a session, wherever the driver has it from, and keep Arrow batches small.
+
+    A session that sets spark.sql.execution.arrow.maxRecordsPerBatch itself keeps its setting.
+    """
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     if getattr(context, "_strataledger_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
@@ -75,3 +84,13 @@ BROADCAST_ROWS = 200_000
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A cut table of short rows, marked for broadcast if it has at most limit rows; beyond, the join shuffles it."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def looked_up(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of one short row a key, cut, to be joined to rows of which many may share a key.
+
+    At most limit rows are broadcast. More are dealt out anew: a table that comes out of an aggregation is still
+    partitioned by its key, and a join that makes use of that cannot be split where a key is hot.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= limit else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

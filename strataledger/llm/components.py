@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import cut
+from strataledger.llm.common import cut, looked_up
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -52,5 +52,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         found = cut(
             move.join(found.toDF("rep", "last"), "rep", "left").select("node", F.coalesce("last", "rep").alias("rep"))
         )
-    least = found.groupBy("rep").agg(F.min("node").alias("component"))
+    least = looked_up(found.groupBy("rep").agg(F.min("node").alias("component")))
     return found.join(least, "rep").select("node", "component")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import LOWER, UPPER, cut, ship, small
+from strataledger.llm.common import LOWER, UPPER, cut, looked_up, ship, small
 from strataledger.llm.components import connected_components
 from strataledger.llm.ftrl import Hashes
 
@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 75
 K, MATCHES = 24, 10
 #: Classes of a posting that are compared in one task; larger postings are dealt out as pairs of blocks.
 BLOCK = 512
+#: Rows that are handed to Python together, without and with texts, and row pairs looked at at once.
+GROUP_ROWS, TEXT_ROWS, PAIRS_AT_ONCE = 2000, 500, 100_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,67 +100,89 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["src", "dst"]]
 
 
-def _agreeing(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For a block pair of a posting: the signatures' agreement, and which pairs it is to look at."""
-    sig = np.stack(group["sig"].to_numpy())
-    block, comp, n = group["block"].to_numpy(), group["comp"].to_numpy(), group["n_shingles"].to_numpy()
-    same_block = len(np.unique(block)) == 1
-    wanted = comp[:, None] != comp[None, :]
-    wanted &= np.triu(np.ones(wanted.shape, bool), 1) if same_block else (block[:, None] < block[None, :])
-    wanted &= SIMILARITY * np.maximum(n[:, None], n[None, :]) <= 100 * np.minimum(n[:, None], n[None, :])
-    return sig, wanted
+def _runs(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows ordered by block pair, and where each block pair begins and the last one ends."""
+    group = group.sort_values(["token", "pair"], kind="stable", ignore_index=True)
+    token, pair = group["token"].to_numpy(), group["pair"].to_numpy()
+    return group, np.r_[np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (pair[1:] != pair[:-1])]), len(group)]
 
 
 def _promising(group: pd.DataFrame) -> pd.DataFrame:
-    """Those of a block pair that agree with some other in enough coordinates and meet it in no earlier posting."""
-    if len(group) < 2 or not group["whole"].iloc[0] and group["block"].nunique() < 2:
-        return group.iloc[:0][["token", "pair", "block", "comp", "rep"]]
-    sig, wanted = _agreeing(group)
-    prefix, own = group["prefix"].to_numpy(), int(group["coordinate"].iloc[0])
-    matches, first = np.zeros(wanted.shape, np.int16), np.full(wanted.shape, 64, np.int16)
-    for c in range(sig.shape[1] - 1, -1, -1):
-        equal = sig[:, c][:, None] == sig[:, c][None, :]
-        matches += equal
-        posted = (prefix >> c) & 1 == 1
-        first[equal & posted[:, None] & posted[None, :]] = c
-    good = wanted & (matches >= MATCHES) & (first == own)
-    return group.loc[good.any(axis=0) | good.any(axis=1), ["token", "pair", "block", "comp", "rep"]]
+    """Rows that agree with some other of their block pair in enough coordinates and meet it in no earlier posting.
 
-
-def _joining(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block pair that join components, confirmed on the full sets: at most one less than there are rows."""
-    if len(group) < 2 or group["comp"].nunique() < 2:
-        return pd.DataFrame({"src": group["rep"][:0], "dst": group["rep"][:0]})
-    sets = [shingles(t) for t in group["text"]]
+    A group holds many block pairs; those of a size are looked at together, a bounded number of row pairs at a time.
+    """
+    group, edges = _runs(group)
+    sig = np.stack(group["sig"].to_numpy()).astype(np.int32)
+    block, comp, n, whole = (group[c].to_numpy() for c in ("block", "comp", "n_shingles", "whole"))
+    prefix, own = group["prefix"].to_numpy().astype(np.int64), np.int64(1) << group["coordinate"].to_numpy().astype(np.int64)
+    bits = np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
+    keep, sizes = np.zeros(len(group), bool), np.diff(edges)
+    for size in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(size, 1)
+        starts, step = edges[:-1][sizes == size], max(1, PAIRS_AT_ONCE // len(i))
+        for k in range(0, len(starts), step):
+            left, right = (starts[k : k + step, None] + i).ravel(), (starts[k : k + step, None] + j).ravel()
+            for lo in range(0, len(left), PAIRS_AT_ONCE):
+                a, b = left[lo : lo + PAIRS_AT_ONCE], right[lo : lo + PAIRS_AT_ONCE]
+                wanted = (comp[a] != comp[b]) & (whole[a] | (block[a] != block[b])) & (SIMILARITY * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
+                a, b = a[wanted], b[wanted]
+                equal = sig[a] == sig[b]
+                enough = np.count_nonzero(equal, axis=1) >= MATCHES
+                a, b, equal = a[enough], b[enough], equal[enough]
+                posted = (equal @ bits) & prefix[a] & prefix[b]
+                first = (posted & -posted) == own[a]
+                keep[a[first]] = keep[b[first]] = True
+    return group.loc[keep, ["token", "pair", "block", "comp", "rep"]]
+
+
+def _linked_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets of a block pair are linked, as a matrix; shared shingles are counted by slices of columns."""
     sizes = np.array([len(s) for s in sets])
     of_row = np.repeat(np.arange(len(sets)), sizes)
-    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = (often > 1)[column]
-    of_row, column = of_row[common], np.cumsum(often > 1)[column[common]] - 1
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    of_row, column = of_row[common], (np.cumsum(often > 1) - 1)[column[common]]
     order = np.argsort(column, kind="stable")
     of_row, column = of_row[order], column[order]
-    step = 8192  # columns at a time: the dense slice stays small, however long the texts
+    both, step = np.zeros((len(sets), len(sets))), 4096
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         lo, hi = np.searchsorted(column, [start, start + step])
-        slice_ = np.zeros((len(sets), step), np.float32)
-        slice_[of_row[lo:hi], column[lo:hi] - start] = 1
-        both += slice_ @ slice_.T
-    good = (both > 0) & (100.0 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both.astype(np.float64)))
-    rep, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
-    parent = {c: c for c in comp}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
+        part = np.zeros((len(sets), step), np.float32)
+        part[of_row[lo:hi], column[lo:hi] - start] = 1
+        both += part @ part.T
+    return (both > 0) & (100 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both))
 
+
+def _joining(group: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components, confirmed on the full sets: fewer of each block pair than it has rows."""
+    group, edges = _runs(group)
+    rep, comp, text = (group[c].to_numpy() for c in ("rep", "comp", "text"))
+    known: dict[int, np.ndarray] = {}
     out = []
-    for i, j in zip(*np.nonzero(np.triu(good, 1) & (comp[:, None] != comp[None, :])), strict=True):
-        if (a := root(comp[i])) != (b := root(comp[j])):
-            parent[a] = b
-            out.append((rep[i], rep[j]))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo < 2:
+            continue
+        for k in range(lo, hi):
+            if rep[k] not in known:
+                known[rep[k]] = shingles(text[k])
+        sets = [known[r] for r in rep[lo:hi]]
+        if hi - lo <= 8:
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[lo + i] != comp[lo + j] and linked(sets[i], sets[j])]
+        else:
+            pairs = zip(*np.nonzero(np.triu(_linked_rows(sets), 1) & (comp[lo:hi, None] != comp[None, lo:hi])), strict=True)
+        parent = {c: c for c in comp[lo:hi]}
+        for i, j in pairs:
+            a, b = comp[lo + i], comp[lo + j]
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            if a != b:
+                parent[a] = b
+                out.append((rep[lo + i], rep[lo + j]))
+        if len(known) > GROUP_ROWS:
+            known.clear()
     return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
 
@@ -222,28 +246,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .withColumn("comp", F.coalesce("comp", "rep"))
     )
     members = postings.join(of_class, "rep")
-    open_ = cut(members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    open_ = cut(members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     dealt = (
-        members.join(open_, "token")
+        members.join(open_.drop("n"), "token")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
         .withColumn("whole", F.col("pair") % (F.col("blocks") + 1) == 0)
     )
+    in_parts = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("token", "pair"), F.lit(parts))).groupBy("part")
+    rows = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     promising = cut(
-        dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig")
-        .groupBy("token", "pair")
-        .applyInPandas(_promising, "token long, pair long, block int, comp long, rep long")
+        in_parts(dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig"), -(-rows // GROUP_ROWS) or 1).applyInPandas(_promising, "token long, pair long, block int, comp long, rep long")
     )
     texts = _texts(named, classes, promising.select("rep").distinct())
-    more = cut(promising.join(texts, "rep").groupBy("token", "pair").applyInPandas(_joining, "src long, dst long"))
+    more = cut(in_parts(promising.join(texts, "rep"), -(-promising.count() // TEXT_ROWS) or 1).applyInPandas(_joining, "src long, dst long"))
 
     component = connected_components(links.unionAll(more).distinct())
-    joined = classes.join(component.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    joined = cut(classes.select("rep", "doc_id", "digest").join(component.toDF("rep", "comp"), "rep", "left"))
     head = F.struct(F.col("doc_id").isNull(), "doc_id", "rep")
-    heads = joined.groupBy("comp").agg(F.min(head).alias("head")).select("comp", F.col("head.doc_id").alias("component_id"), F.col("head.rep").alias("head"))
-    of_digest = joined.join(heads, "comp").select(F.col("digest").alias("class_digest"), "component_id", "head")
-    found = sketch.join(of_digest, F.col("digest") == F.col("class_digest"), "left")
+    heads = looked_up(joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min(head).alias("first")))
+    of_digest = joined.join(heads, "comp", "left").select(
+        F.col("digest").alias("class_digest"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce("first.rep", "rep").alias("head")
+    )
+    found = sketch.join(looked_up(of_digest), F.col("digest") == F.col("class_digest"), "left")
     alone = F.col("digest").isNull()
     return found.select(
         "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
