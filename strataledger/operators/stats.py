@@ -123,7 +123,7 @@ def rollup_segments(txo: DataFrame) -> DataFrame:
 def top_ages(txo: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent lifespans of spent outputs with their percentage; the smaller age first among equals."""
     ages = txo.where("event").groupBy(F.col("duration").alias("age")).agg(F.count("*").alias("n"))
-    total = txo.where("event").agg(F.count("*").alias("total"))
+    total = ages.agg(F.sum("n").alias("total"))  # from the same shuffled counts
     return ages.orderBy(F.desc("n"), "age").limit(k).crossJoin(F.broadcast(total)).select("age", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
 
 
