@@ -13,7 +13,7 @@ HEADER = "creation_block,spent_block,value,locking_script_size,unlocking_script_
 
 
 def test_history_is_read_by_position_and_normalised(spark, tmp_path):
-    (tmp_path / "utxo-history-7.csv").write_text(HEADER + "100,120,5000,25,107,True,false\n100,Unspent,7,40000,-,false,TRUE\n200,210,1,25,,false,false\n")
+    (tmp_path / "history-7.csv").write_text(HEADER + "100,120,5000,25,107,True,false\n100,Unspent,7,40000,-,false,TRUE\n200,210,1,25,,false,false\n")
     got = {r["value"]: r.asDict() for r in history.normalise(files.read_history(spark, str(tmp_path))).collect()}
     assert got[5000]["duration"] == 20 and got[5000]["event"] and got[5000]["tx_coinbase"] and got[5000]["unlocking_script_size"] == 107
     assert got[7]["spent_block"] is None and got[7]["duration"] == 789_899 and got[7]["op_return"] and got[7]["locking_script_size"] == 40_000 and got[7]["unlocking_script_size"] == 0
@@ -91,5 +91,5 @@ def test_other_files(spark, tmp_path):
     d = tmp_path / "hist"
     d.mkdir()
     for n, text in ((9, "1,2,3"), (12, "1,Unspent,3"), (40, "2,Unspent,3")):
-        (d / f"utxo-history-{n}.csv").write_text(text + "\n")
+        (d / f"history-{n}.csv").write_text(text + "\n")
     assert files.first_file_with(files.read_lines(spark, str(d))).first()[0] == 12
