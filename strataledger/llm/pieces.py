@@ -32,7 +32,7 @@ BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Words a worker keeps the ids of, as many again from before the last clearing.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Words up to this long are folded by scanning neighbours, longer ones with a heap.
 SHORT = 48
 #: Texts whose ids leave a task at a time.
@@ -208,19 +208,24 @@ def _ids(parts: list[str], table: Pieces) -> array:
     return out
 
 
-def word_ids(word: str, table: Pieces) -> array:
+def word_ids(word: str, table: Pieces, key: str | None = None) -> array:
     """A word's ids; frequent words are remembered, in two generations so that clearing one does not lose them."""
-    known = table.older.get(word) or _ids((_merged if table.kind == BPE else _viterbi)(word, table), table)
+    key = word if key is None else key
+    known = table.older.get(key) or _ids((_merged if table.kind == BPE else _viterbi)(word, table), table)
     if len(word) <= SHORT:
         if len(table.memory) >= REMEMBERED:
             table.memory, table.older = {}, table.memory
-        table.memory[word] = known
+        table.memory[key] = known
     return known
 
 
 def encode_text(text: str | None, table: Pieces) -> array:
     out = array("i")
     add = out.extend
+    if table.prefix and text and BLANK not in text and "" not in (parts := text.split(" ")):
+        for bare in parts:  # words between single blanks, remembered without their U+2581
+            add(table.memory.get(bare) or word_ids(BLANK + bare, table, bare))
+        return out
     for word in _UNITS.findall(prepared(text or "", table)):
         add(table.memory.get(word) or word_ids(word, table))
     return out
