@@ -19,7 +19,7 @@ Features = tuple[np.ndarray, np.ndarray]
 class Hashes(dict):
     """The 64-bit hash of each word, kept for up to a number of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         from xxhash import xxh3_64_intdigest
 
         self.of, self.most = xxh3_64_intdigest, most
@@ -49,11 +49,11 @@ class Linear:
 
 
 def train(
-    rows: list[Features], labels: list[int], dim: int, twins: list[Features | None] | None = None, invariance: float = 0.0, alpha: float = 0.2, l1: float = 0.3, l2: float = 0.1, epochs: int = 4, seed: int = 0
+    rows: list[Features], labels: list[int], dim: int, twins: list[Features | None] | None = None, invariance: float = 0.0, alpha: float = 0.2, l1: float = 0.3, l2: float = 0.1, epochs: int = 4, seed: int = 0, balanced: bool = True
 ) -> Linear:
     """Logistic regression by FTRL-proximal updates: per-coordinate rates, weights exactly 0 until |z| exceeds l1.
 
-    Rare classes weigh as much as frequent ones. A row's twin is the same sentence with other identity terms; where
+    balanced lets the rarer class weigh as much as the other. A row's twin is the same sentence with other identity terms; where
     there is one, invariance times half the squared difference of the two margins is added to the loss.
     Without rows, or with one class only, the model is a constant: that class, or 0.5.
     """
@@ -61,7 +61,7 @@ def train(
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(dim, np.float32), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
     share = y.mean()
-    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if balanced else np.ones(len(y))
     z, n = np.zeros(dim), np.zeros(dim)
     bias = bias_n = 0.0
     beta = 1.0
@@ -131,8 +131,8 @@ def collect_examples(docs: DataFrame, sample: DataFrame, featurise: Callable[[st
     chosen = F.broadcast(sample.withColumnRenamed("doc_id", "sample_id"))  # bounded by the sample's size
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, F.col("doc_id") == F.col("sample_id")).select("doc_id", "label", "text")
     found = rows.mapInPandas(run, "doc_id string, label int, i binary, v binary, ti binary, tv binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["i"]))
-    unpack = lambda i, v: None if i is None else (np.frombuffer(i, np.uint32), np.frombuffer(v, np.float32).astype(np.float64))
+    found.sort(key=lambda r: (r["doc_id"], r["i"]))  # the arrays below are views of these bytes, not copies
+    unpack = lambda i, v: None if i is None else (np.frombuffer(i, np.uint32), np.frombuffer(v, np.float32))
     return [unpack(r["i"], r["v"]) for r in found], [unpack(r["ti"], r["tv"]) for r in found], [r["label"] for r in found]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from strataledger.llm import ftrl
 
 DIM = 1 << 20
-MAX_LABELLED = 8_000
+MAX_LABELLED = 4_000
 
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 _AGAIN = 0x9E3779B97F4A7C15
@@ -50,7 +50,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, allowed: Column, max_label
     """A model fitted on at most max_labelled labelled documents for which allowed (on labels' doc_id) holds; it sees the text only."""
     sample = ftrl.labelled_sample(labels, label, allowed, max_labelled, doc_id)
     rows, _, y = ftrl.collect_examples(docs, sample, _with_none, doc_id, text)
-    return ftrl.train(rows, y, DIM, alpha=0.5, l1=0.05, l2=0.01, epochs=3)
+    return ftrl.train(rows, y, DIM, alpha=1.0, l1=0.1, l2=0.01, epochs=5, balanced=False)
 
 
 def score_quality(docs: DataFrame, model: ftrl.Linear, text: str = "text") -> DataFrame:
