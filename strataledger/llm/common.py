@@ -52,10 +52,14 @@ def ship(spark: SparkSession) -> None:
     context._strataledger_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder: later steps neither recompute them nor depend on executors' disks."""
+def cut(df: DataFrame, gather: bool = False) -> DataFrame:
+    """The rows, written once to the shared folder: later steps neither recompute them nor depend on executors' disks.
+
+    gather first brings what many tasks made of large rows (a scan of texts, say) into partitions of ordinary size, as
+    short rows would otherwise go to as many small files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if gather else df).checkpoint(eager=True)
 
 
 def ascii_lower(text: Column) -> Column:

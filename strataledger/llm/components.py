@@ -28,29 +28,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     kind = e.schema["u"].dataType
     if e.isEmpty():
         return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    moves = []
+    rounds = []
     while not e.isEmpty():
-        seed = F.lit(len(moves) // 2)
+        seed = F.lit(len(rounds) // 2)
         rank = lambda c, seed=seed: F.struct(F.xxhash64(F.col(c), seed).alias("h"), F.col(c).alias("n"))
-        move = cut(
+        move = (
             e.select("u", "v")
             .unionAll(e.select("v", "u"))
             .groupBy("u")
             .agg(F.min(rank("v")).alias("best"))
             .select(F.col("u").alias("node"), F.least(rank("u"), F.col("best"))["n"].alias("rep"))
         )
-        moves.append(move)
-        e = cut(
-            e.join(move.toDF("u", "ru"), "u")
-            .join(move.toDF("v", "rv"), "v")
-            .where("ru <> rv")
-            .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
-            .distinct()
-        )
-    found = moves[-1]
-    for move in reversed(moves[:-1]):  # a representative that had no edge left stands for itself
-        found = cut(
-            move.join(found.toDF("rep", "last"), "rep", "left").select("node", F.coalesce("last", "rep").alias("rep"))
-        )
+        # one table a round: the edges with where their ends move; moves and the next edges are read from it
+        moved = cut(e.join(move.toDF("u", "ru"), "u").join(move.toDF("v", "rv"), "v").select("u", "v", "ru", "rv"))
+        rounds.append(moved)
+        e = moved.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+    found = None
+    for moved in reversed(rounds):  # a representative that had no edge left stands for itself
+        move = moved.select(F.col("u").alias("node"), F.col("ru").alias("rep")).unionAll(moved.select("v", "rv")).distinct()
+        found = move if found is None else move.join(found.toDF("rep", "last"), "rep", "left").select("node", F.coalesce("last", "rep").alias("rep"))
+    found = cut(found)
     least = looked_up(found.groupBy("rep").agg(F.min("node").alias("component")))
     return found.join(least, "rep").select("node", "component")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import cut, ship
+from strataledger.llm.common import cut, looked_up, ship
 from strataledger.llm.components import connected_components
 
 COSINE = 0.95
@@ -160,7 +160,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: s
             yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "dim": np.array([0 if x is None else len(x) for x in made], np.int32), "unit": [None if x is None else x.tobytes() for x in made]})
 
     named = vectors.select(F.col(vec_id).cast("string").alias("vec_id"), F.col(vector).alias("embedding"))
-    rows = cut(named.mapInPandas(read, "vec_id string, dim int, unit binary").withColumns({"row": F.monotonically_increasing_id(), "vec_id": F.col("vec_id").cast(id_type)}))
+    rows = cut(named.mapInPandas(read, "vec_id string, dim int, unit binary").withColumns({"row": F.monotonically_increasing_id(), "vec_id": F.col("vec_id").cast(id_type)}), gather=True)
     first = F.struct(F.col("vec_id").isNull(), "vec_id", "row")
     classes = rows.where("dim > 0").groupBy("dim", "unit").agg(F.min(first).alias("first"), F.count("*").alias("copies"))
     classes = cut(classes.select("dim", "unit", "copies", F.col("first.row").alias("rep"), F.col("first.vec_id").alias("head_id")))
@@ -204,9 +204,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: s
     empty = spark.createDataFrame([], "src long, dst long")
     component = connected_components(_union(links, empty)).toDF("rep", "comp")
     degree = _union(counts, empty.toDF("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = classes.join(component, "rep", "left").join(degree, "rep", "left").withColumns({"comp": F.coalesce("comp", "rep"), "links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1})
-    heads = joined.groupBy("comp").agg(F.min(F.struct(F.col("head_id").isNull(), "head_id")).alias("head")).select("comp", F.col("head.head_id").alias("component_id"))
-    of_unit = joined.join(heads, "comp").select(F.col("dim").alias("class_dim"), F.col("unit").alias("class_unit"), "links", "component_id")
+    joined = classes.join(component, "rep", "left").join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    heads = looked_up(joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("head_id").isNull(), "head_id")).alias("first")))
+    own_id = F.when(F.col("first").isNull(), F.col("head_id")).otherwise(F.col("first.head_id"))
+    of_unit = joined.join(heads, "comp", "left").select(F.col("dim").alias("class_dim"), F.col("unit").alias("class_unit"), "links", own_id.alias("component_id"))
     found = rows.join(of_unit, (F.col("dim") == F.col("class_dim")) & (F.col("unit") == F.col("class_unit")), "left")
     alone = F.col("unit").isNull()
     component_id = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))

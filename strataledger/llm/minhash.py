@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import LOWER, UPPER, cut, looked_up, ship, small
+from strataledger.llm.common import BROADCAST_ROWS, LOWER, UPPER, cut, looked_up, ship
 from strataledger.llm.components import connected_components
 from strataledger.llm.ftrl import Hashes
 
@@ -155,7 +155,7 @@ def _linked_rows(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _joining(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components, confirmed on the full sets: fewer of each block pair than it has rows."""
+    """Components joined by links that are confirmed on the full sets: fewer pairs of each block pair than it has rows."""
     group, edges = _runs(group)
     rep, comp, text = (group[c].to_numpy() for c in ("rep", "comp", "text"))
     known: dict[int, np.ndarray] = {}
@@ -180,7 +180,7 @@ def _joining(group: pd.DataFrame) -> pd.DataFrame:
                 parent[b] = b = parent[parent[b]]
             if a != b:
                 parent[a] = b
-                out.append((rep[lo + i], rep[lo + j]))
+                out.append((comp[lo + i], comp[lo + j]))
         if len(known) > GROUP_ROWS:
             known.clear()
     return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
     named = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
     sketch = cut(
-        named.mapInPandas(_sketch, f"doc_id {id_type.simpleString()}, key binary, n_shingles long, digest binary, sig array<int>").withColumn("row", F.monotonically_increasing_id())
+        named.mapInPandas(_sketch, f"doc_id {id_type.simpleString()}, key binary, n_shingles long, digest binary, sig array<int>").withColumn("row", F.monotonically_increasing_id()),
+        gather=True,
     )
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row")
     classes = cut(
@@ -233,16 +234,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = cut(
         stars.join(signed.toDF("src", "left_sig", "left_n"), "src").join(signed.toDF("dst", "right_sig", "right_n"), "dst").where(close & (agree >= MATCHES)).select("src", "dst")
     )
-    texts = _texts(named, classes, candidates.select(F.col("src").alias("rep")).unionAll(candidates.select(F.col("dst").alias("rep"))).distinct())
+    ends = candidates.select(F.col("src").alias("rep")).unionAll(candidates.select(F.col("dst").alias("rep"))).distinct()
+    texts = cut(_texts(named, classes, ends, 2 * candidates.count()))
     links = cut(
-        candidates.join(texts.toDF("src", "left_text"), "src").join(texts.toDF("dst", "right_text"), "dst").select("src", "dst", "left_text", "right_text").mapInPandas(_confirm, "src long, dst long")
+        candidates.join(texts.toDF("src", "left_text"), "src").join(texts.toDF("dst", "right_text"), "dst").select("src", "dst", "left_text", "right_text").mapInPandas(_confirm, "src long, dst long"),
+        gather=True,
     )
 
+    first_pass = connected_components(links).toDF("rep", "comp")
+
     # second pass: what the first has not joined, by blocks of the postings that still hold several components
     of_class = cut(
         classes.select("rep", "sig", "n_shingles")
         .join(prefix.select("rep", F.aggregate("found", F.lit(0), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), p["coordinate"]))).alias("prefix")), "rep")
-        .join(connected_components(links).toDF("rep", "comp"), "rep", "left")
+        .join(first_pass, "rep", "left")
         .withColumn("comp", F.coalesce("comp", "rep"))
     )
     members = postings.join(of_class, "rep")
@@ -257,15 +262,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     in_parts = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("token", "pair"), F.lit(parts))).groupBy("part")
     rows = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     promising = cut(
-        in_parts(dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig"), -(-rows // GROUP_ROWS) or 1).applyInPandas(_promising, "token long, pair long, block int, comp long, rep long")
+        in_parts(dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig"), -(-rows // GROUP_ROWS) or 1).applyInPandas(_promising, "token long, pair long, block int, comp long, rep long"),
+        gather=True,
     )
-    texts = _texts(named, classes, promising.select("rep").distinct())
-    more = cut(in_parts(promising.join(texts, "rep"), -(-promising.count() // TEXT_ROWS) or 1).applyInPandas(_joining, "src long, dst long"))
-
-    component = connected_components(links.unionAll(more).distinct())
-    joined = cut(classes.select("rep", "doc_id", "digest").join(component.toDF("rep", "comp"), "rep", "left"))
+    n_promising = promising.count()
+    texts = _texts(named, classes, promising.select("rep").distinct(), n_promising)
+    # from here on, links are between the first pass's components
+    more = in_parts(promising.join(texts, "rep"), -(-n_promising // TEXT_ROWS) or 1).applyInPandas(_joining, "src long, dst long")
+    last = looked_up(connected_components(more).toDF("own", "last"))
+
+    joined = classes.select("rep", "doc_id", "digest").join(first_pass, "rep", "left").withColumn("own", F.coalesce("comp", "rep"))
+    joined = joined.drop("comp").join(last, "own", "left").select("rep", "doc_id", "digest", F.coalesce("last", "own").alias("comp"))
     head = F.struct(F.col("doc_id").isNull(), "doc_id", "rep")
-    heads = looked_up(joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min(head).alias("first")))
+    heads = looked_up(joined.groupBy("comp").agg(F.min(head).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     of_digest = joined.join(heads, "comp", "left").select(
         F.col("digest").alias("class_digest"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce("first.rep", "rep").alias("head")
     )
@@ -277,10 +286,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def _texts(named: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, text) of the given classes, cut; the documents are read again and joined by the digest of id and text."""
-    wanted = small(cut(classes.join(reps, "rep").select("rep", F.col("key").alias("wanted"))))
-    return cut(named.join(wanted, F.col("key") == F.col("wanted")).select("rep", "text").dropDuplicates(["rep"]))
+def _texts(named: DataFrame, classes: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """(rep, text) of the given classes, at most `most`; the documents are read again and joined by the digest of id and text."""
+    wanted = classes.join(reps, "rep").select("rep", F.col("key").alias("wanted"))
+    if most <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return named.join(wanted, F.col("key") == F.col("wanted")).select("rep", "text").dropDuplicates(["rep"])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

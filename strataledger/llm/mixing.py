@@ -108,7 +108,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
     are documents of their own that share a bin; null ids likewise. Empty tables give no rows. Other columns of docs
     are not looked at, whatever their names.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    sized = cut(docs.select(F.col(doc_id).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), gather=True)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs).select("source", "source_size", "target"))
     return repetitions(sized, targets, seed).withColumnRenamed("key", "doc_id")

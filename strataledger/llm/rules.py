@@ -101,7 +101,8 @@ def judge_quality(
     facts = cut(
         read.mapInPandas(_facts, "doc_id string, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>").withColumn(
             "row", F.monotonically_increasing_id()
-        )
+        ),
+        gather=True,
     )
     each = facts.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "doc_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     # two steps, so that a line on very many pages is summed by document before its count meets in one place
