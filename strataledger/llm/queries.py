@@ -61,7 +61,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.fresh_cache(spark))
+    cache = token_counts.fresh_cache(spark)
+    try:
+        return token_counts.token_counts(table(spark, sf_dir, "documents"), cache)
+    finally:
+        token_counts.drop_cache(spark, cache)  # the counts that the result needs are cut
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

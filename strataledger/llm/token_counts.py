@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import shared_dir, ship
+from strataledger.llm.common import looked_up, shared_dir, ship
 
 CACHE = "digest binary, version string, n_tokens long"
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,11 @@ def fresh_cache(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
 
 
+def drop_cache(spark: SparkSession, cache: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -98,8 +103,9 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
         for batch in batches:
             yield pd.DataFrame({"digest": batch["digest"], "version": version, "n_tokens": pd.Series(count_tokens_of(tokenizer, batch["content"].tolist()), dtype="int64")})
 
-    misses = docs.select(digest.alias("digest"), content.alias("content")).join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    misses.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
-    counts = cached_counts(spark, cache, version).withColumnRenamed("digest", "known")
+    # every task drops its own copies first, so that a text which very many documents share is a row a task
+    misses = docs.select(digest.alias("digest"), content.alias("content")).dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
+    misses.mapInPandas(encode, CACHE).hint("rebalance").write.mode("append").parquet(cache)
+    counts = looked_up(cached_counts(spark, cache, version).withColumnRenamed("digest", "known"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(counts, F.col("digest") == F.col("known"), "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
