@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     kind = e.schema["u"].dataType
     if e.isEmpty():
         return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    rounds = []
+    rounds, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     while not e.isEmpty():
         seed = F.lit(len(rounds) // 2)
         rank = lambda c, seed=seed: F.struct(F.xxhash64(F.col(c), seed).alias("h"), F.col(c).alias("n"))
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .groupBy("u")
             .agg(F.min(rank("v")).alias("best"))
             .select(F.col("u").alias("node"), F.least(rank("u"), F.col("best"))["n"].alias("rep"))
+            .repartition(parts)  # else the joins lean on the aggregation's partitioning, and a hub could not be split
         )
         # one table a round: the edges with where their ends move; moves and the next edges are read from it
         moved = cut(e.join(move.toDF("u", "ru"), "u").join(move.toDF("v", "rv"), "v").select("u", "v", "ru", "rv"))
