@@ -6,6 +6,7 @@ ones. Deferred operations of a mutable store are joins here; what could not be d
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,35 @@ def apply_batch(state: DataFrame, inserts: DataFrame, deletes: DataFrame, keys:
     return rest.unionByName(added), failed
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that later batches do not carry the plans of earlier ones."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def fold_batches(txo: DataFrame, blocks: int) -> DataFrame:
+    """The ledger (key columns, creation_block, value) after every batch of blocks, applied in turn to an empty one.
+
+    Batches go up to the greatest height of a creation or spend; an empty history leaves an empty ledger.
+    A delete that fails ends the fold, as the history is then not sound.
+    """
+    rows = _cut(txo.select(*KEY, "creation_block", "spent_block", "value"))
+    last = rows.agg(F.max(F.greatest("creation_block", "spent_block"))).first()[0]
+    held = rows.drop("spent_block").limit(0)
+    for low in range(0, -1 if last is None else last + 1, blocks):
+        within = lambda height: F.col(height).between(low, low + blocks - 1)  # noqa: B023, E731
+        after, failed = apply_batch(held, rows.where(within("creation_block")).drop("spent_block"), rows.where(within("spent_block")).select(*KEY))
+        if not failed.isEmpty():
+            raise RuntimeError(f"blocks from {low}: deletes of unknown keys")
+        held = _cut(after)
+    return held
+
+
 def state_at(txo: DataFrame, height: int) -> DataFrame:
     """Outputs that exist after the block of that height."""
     return txo.where((F.col("creation_block") <= height) & (F.col("spent_block").isNull() | (F.col("spent_block") > height)))

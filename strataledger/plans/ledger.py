@@ -54,6 +54,12 @@ def apply_batch_sequence(spark, sf_dir):
     return held
 
 
+@register("apply_all_batches", "SELECT tx_id, vout, creation_block, value FROM txo WHERE NOT event")
+def apply_all_batches(spark, sf_dir):
+    """Every batch of the history applied in turn to an empty ledger."""
+    return state.fold_batches(txo(spark, sf_dir), BATCH)
+
+
 @register("state_at_height", f"SELECT tx_id, vout, creation_block, value FROM txo WHERE creation_block <= {HEIGHT} AND (spent_block IS NULL OR spent_block > {HEIGHT})")
 def state_at_height(spark, sf_dir):
     return state.state_at(txo(spark, sf_dir), HEIGHT).select(*KEY, "creation_block", "value")

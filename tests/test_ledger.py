@@ -60,6 +60,30 @@ def test_random_batches_equal_a_dictionary(spark):
     assert rows(df) == sorted((k, 0, v) for k, v in held.items())
 
 
+def test_all_batches_are_applied(spark):
+    schema = "tx_id long, vout int, creation_block int, spent_block int, value long"
+    history = [(1, 0, 5, None, 10), (2, 0, 5, 7, 20), (3, 0, 9, 64, 30), (4, 0, 41, None, 40), (5, 0, 42, 42, 50), (6, 0, 60, None, 60), (7, 0, 10, 99, 70), (8, 0, 99, None, 80)]
+    after = state.fold_batches(spark.createDataFrame(history, schema), 10)
+    assert rows(after) == [(k, 0, made, v) for k, _, made, spent, v in history if spent is None]
+    assert rows(state.fold_batches(spark.createDataFrame([], schema), 10)) == []
+    with pytest.raises(RuntimeError, match="unknown keys"):
+        state.fold_batches(spark.createDataFrame([(1, 0, 35, 12, 10)], schema), 10)
+
+
+def test_the_fold_goes_through_the_whole_history(spark):
+    from strataledger import queries
+    from strataledger.plans.ledger import BATCH
+    from strataledger.sources.txo import txo
+
+    sf = "/root/testdata/sf0.001"
+    created, spent = txo(spark, sf).agg(F.max("creation_block"), F.max("spent_block")).first()
+    assert max(created, spent) >= 3 * BATCH
+    after = queries.queries()["apply_all_batches"](spark, sf)
+    left = txo(spark, sf).where("spent_block IS NULL")
+    assert after.agg(F.max("creation_block")).first() == left.agg(F.max("creation_block")).first()
+    assert rows(after) == rows(left.select("tx_id", "vout", "creation_block", "value"))
+
+
 def test_lookup_reports_found_and_missing(spark):
     found = state.lookup(ledger(spark, {1: 10}), keys(spark, 1, 5))
     assert {r["tx_id"]: (r["value"], r["found"]) for r in found.collect()} == {1: (10, True), 5: (None, False)}
