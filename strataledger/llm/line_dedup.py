@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strataledger.llm.common import cut, normalised_line, small
 
-MAX_RATIO, MIN_PAGES = 0.1, 10
+#: Below three pages a line is no repetition: two copies of one page are not boilerplate. Above, the ratio decides.
+MAX_RATIO, MIN_PAGES = 0.1, 3
 
 
 def page_lines(text: Column) -> Column:

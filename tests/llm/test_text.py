@@ -90,6 +90,18 @@ def test_lines_equal_the_naive_result(spark):
     assert line_dedup.drop_boilerplate(documents(spark, [])).count() == 0
 
 
+def test_small_hosts_lose_lines_by_the_ratio(spark):
+    """Production parameters: a hot host and a tail of small ones, each with its own boilerplate."""
+    page = lambda host, k, line: (None, f"{line}\n{host} page {k}", host)
+    rows = [page("tiny", k, "menu") for k in range(4)] + [page("small", k, "menu" if k < 3 else "rare") for k in range(9)]
+    rows += [page("middle", k, "menu" if k < 9 else f"body {k}") for k in range(50)]
+    rows += [page("hot", k, "menu" if k < 40 else f"body {k}") for k in range(400)]  # exactly 10 %, which is not over it
+    rows += [page("copied", 0, "same") for _ in range(2)] + [page("copied", k, "own") for k in range(1, 3)]
+    docs = documents(spark, [(i, t, h) for i, (_, t, h) in enumerate(rows)])
+    got = line_dedup.drop_boilerplate(docs).groupBy("row.source").agg(F.sum("n_dropped").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"tiny": 4, "small": 9, "middle": 9, "hot": 0, "copied": 0}
+
+
 # ---------------------------------------------------------------- token counts
 
 
