@@ -7,8 +7,9 @@ a unigram model takes the best path (Viterbi), a BPE model joins neighbours in t
 Characters without a piece become their bytes, or the unknown id where the model has no byte pieces.
 
 ``encode_words`` is the relational form: explode substrings, equi-join the piece table, group edges by word, fold with
-a higher-order aggregate. ``encode`` runs the same lattice inside Arrow batches, as a document's words and its ids
-would otherwise have to be shuffled to meet (see README).
+a higher-order aggregate. ``encode``, which the query and the pipeline use, builds no lattice: for a BPE model it joins
+neighbours directly by look-ups in the piece table, inside Arrow batches, as a document's words and its ids would
+otherwise have to be shuffled to meet (see README).
 """
 
 from __future__ import annotations
@@ -136,12 +137,6 @@ def prepared(text: str, table: Pieces) -> str:
     return ((" " if table.prefix else "") + text).replace(" ", BLANK)
 
 
-def edges(word: str, table: Pieces) -> dict[tuple[int, int], float]:
-    """The word's lattice: start and end of every substring that is a piece, with its score."""
-    most, score = table.longest, table.score
-    return {(i, j): score[word[i:j]] for i in range(len(word)) for j in range(i + 1, min(len(word), i + most) + 1) if word[i:j] in score}
-
-
 def _viterbi(word: str, table: Pieces) -> list[str]:
     """The path of the greatest sum of scores; of equal ones the one whose last pieces are longer. Unknown characters cost more than any piece."""
     worst = min(table.score.values(), default=0.0) - 10.0
@@ -160,7 +155,7 @@ def _viterbi(word: str, table: Pieces) -> list[str]:
 
 
 def _merged(word: str, table: Pieces) -> list[str]:
-    """Neighbours joined while the lattice has an edge over both: the best score first, leftmost of equals."""
+    """Neighbours joined while the two together are a piece: the best score first, leftmost of equals."""
     if len(word) <= SHORT:
         get, parts = table.order.get, list(word)
         have = [get(a + b, _NEVER) for a, b in zip(word, word[1:])]
