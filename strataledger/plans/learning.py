@@ -82,6 +82,15 @@ def feature_correlations(spark, sf_dir):
     return features.correlations(_features(spark, sf_dir), features.FEATURES[:11]).withColumn("correlation", F.round("correlation", 6))
 
 
+_CORR17 = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr(CAST({f} AS DOUBLE), CAST(target AS DOUBLE)), 6) AS correlation FROM feat" for f in features.FEATURES)
+
+
+@register("feature_correlations17", f"{_FEATURES} SELECT feature, CASE WHEN isnan(correlation) THEN NULL ELSE correlation END AS correlation FROM ({_CORR17})")
+def feature_correlations17(spark, sf_dir):
+    """All features, the classes of value included."""
+    return features.correlations(_features(spark, sf_dir), features.FEATURES).withColumn("correlation", F.round("correlation", 6))
+
+
 _PATTERN = "count(*) AS n, round(avg(target), 3) AS mean_target, round(median(duration), 3) AS median_duration, CAST(round(median(value), 3) AS DOUBLE) AS median_value FROM clean GROUP BY 1"
 
 
