@@ -48,13 +48,23 @@ class Linear:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
+def difference(a: Features, b: Features) -> Features:
+    """What tells two sentences apart: the coordinates in which they differ, and by how much."""
+    both = np.union1d(a[0], b[0])
+    d = np.zeros(len(both))
+    d[np.searchsorted(both, a[0])] += a[1]
+    d[np.searchsorted(both, b[0])] -= b[1]
+    return both[d != 0], d[d != 0]
+
+
 def train(
-    rows: list[Features], labels: list[int], dim: int, twins: list[Features | None] | None = None, invariance: float = 0.0, alpha: float = 0.2, l1: float = 0.3, l2: float = 0.1, epochs: int = 4, seed: int = 0, balanced: bool = True
+    rows: list[Features], labels: list[int], dim: int, pairs: list[tuple[Features, Features] | None] | None = None, invariance: float = 0.0, alpha: float = 0.2, l1: float = 0.3, l2: float = 0.1, epochs: int = 4, seed: int = 0, balanced: bool = True
 ) -> Linear:
     """Logistic regression by FTRL-proximal updates: per-coordinate rates, weights exactly 0 until |z| exceeds l1.
 
-    balanced lets the rarer class weigh as much as the other. A row's twin is the same sentence with other identity terms; where
-    there is one, invariance times half the squared difference of the two margins is added to the loss.
+    balanced lets the rarer class weigh as much as the other. A row's pair is its sentence with two different identity
+    terms: every second epoch learns the label from the first of the two instead of the row itself, and invariance times
+    half the squared difference of the two margins is added to the loss in every epoch.
     Without rows, or with one class only, the model is a constant: that class, or 0.5.
     """
     y = np.asarray(labels, np.float64)
@@ -62,6 +72,7 @@ def train(
         return Linear(np.zeros(dim, np.float32), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
     share = y.mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if balanced else np.ones(len(y))
+    apart = [p and difference(*p) for p in pairs] if pairs and invariance else [None] * len(y)
     z, n = np.zeros(dim), np.zeros(dim)
     bias = bias_n = 0.0
     beta = 1.0
@@ -76,22 +87,17 @@ def train(
         n[i] += g * g
 
     order = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         for k in order.permutation(len(y)):
-            i, v = rows[k]
+            i, v = pairs[k][0] if apart[k] is not None and epoch % 2 else rows[k]
             w = weights(i)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ v + bias, -30, 30)))
             g = cost[k] * (p - y[k])
             bias_n += g * g
             bias -= alpha / (beta + np.sqrt(bias_n)) * g
             update(i, w, g * v)
-            if invariance and twins and twins[k] is not None:
-                # only the coordinates in which the two sentences differ move
-                both = np.union1d(i, twins[k][0])
-                d = np.zeros(len(both))
-                d[np.searchsorted(both, i)] += v
-                d[np.searchsorted(both, twins[k][0])] -= twins[k][1]
-                both, d = both[d != 0], d[d != 0]
+            if apart[k] is not None:  # only the coordinates in which the two sentences differ move
+                both, d = apart[k]
                 w = weights(both)
                 update(both, w, invariance * float(w @ d) * d)
     return Linear(weights(np.arange(dim)).astype(np.float32), float(bias))
@@ -115,7 +121,11 @@ def labelled_sample(labels: DataFrame, label: str, allowed: Column, most: int, d
 
 
 def collect_examples(docs: DataFrame, sample: DataFrame, featurise: Callable[[str], tuple[Features, Features | None]], doc_id: str, text: str) -> tuple[list[Features], list[Features | None], list[int]]:
-    """Features of the sample's documents, made on the executors: only hashed features of a bounded number of rows come here."""
+    """Features of the sample's documents, made on the executors, and of their twins where they have one.
+
+    Of rows that share an id, the one whose features come first in byte order stands for it; tasks drop the others
+    before the shuffle. So the driver gets hashed features of one row an id of the sample, whatever the table holds.
+    """
 
     def pack(x: Features | None) -> tuple[bytes | None, bytes | None]:
         return (None, None) if x is None else (x[0].astype(np.uint32).tobytes(), x[1].astype(np.float32).tobytes())
@@ -130,8 +140,9 @@ def collect_examples(docs: DataFrame, sample: DataFrame, featurise: Callable[[st
     ship(docs.sparkSession)
     chosen = F.broadcast(sample.withColumnRenamed("doc_id", "sample_id"))  # bounded by the sample's size
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, F.col("doc_id") == F.col("sample_id")).select("doc_id", "label", "text")
-    found = rows.mapInPandas(run, "doc_id string, label int, i binary, v binary, ti binary, tv binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["i"]))  # the arrays below are views of these bytes, not copies
+    made = rows.mapInPandas(run, "doc_id string, label int, i binary, v binary, ti binary, tv binary")
+    found = made.groupBy("doc_id").agg(F.min(F.struct("label", "i", "v", "ti", "tv")).alias("x")).select("doc_id", "x.*").collect()
+    found.sort(key=lambda r: r["doc_id"])  # the arrays below are views of these bytes, not copies
     unpack = lambda i, v: None if i is None else (np.frombuffer(i, np.uint32), np.frombuffer(v, np.float32))
     return [unpack(r["i"], r["v"]) for r in found], [unpack(r["ti"], r["tv"]) for r in found], [r["label"] for r in found]
 

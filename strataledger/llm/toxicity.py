@@ -72,15 +72,36 @@ def features_and_twin(text: str) -> tuple[ftrl.Features, ftrl.Features | None]:
     return _features(words), _features(twin) if twin != words else None
 
 
+def with_mentions(rows: list[ftrl.Features], twins: list[ftrl.Features | None], seed: int = 0, terms: tuple = IDENTITY_TERMS) -> list[tuple[ftrl.Features, ftrl.Features]]:
+    """For each row the two sentences whose scores may not differ.
+
+    A sentence that names a group is paired with its twin. One that names none is given a neutral mention: two
+    terms of one line, drawn by the seed, each added to the sentence's words.
+    """
+    rng = np.random.default_rng(seed)
+    of_term = {w: _features([w])[0] for line in terms for w in line}
+
+    def named(x: ftrl.Features, term: str) -> ftrl.Features:
+        found = np.union1d(x[0], of_term[term]).astype(np.uint32)
+        return found, np.ones(len(found), np.float32)
+
+    out = []
+    for x, twin in zip(rows, twins, strict=True):
+        line = terms[rng.integers(len(terms))]
+        one, other = rng.permutation(len(line))[:2]
+        out.append((x, twin) if twin is not None else (named(x, line[one]), named(x, line[other])))
+    return out
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, max_labelled: int = MAX_LABELLED, invariance: float = 4.0, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ftrl.Linear:
     """A model fitted on at most max_labelled labelled documents for which allowed (on labels' doc_id) holds.
 
-    It sees the words of the text only. Every labelled sentence with identity terms is paired with its counterfactual,
-    and their difference in score is penalised by invariance.
+    It sees the words of the text only. Every labelled sentence is paired with its counterfactual (see with_mentions),
+    and the difference in score of the two is penalised by invariance. Repeated ids count as one row.
     """
     sample = ftrl.labelled_sample(labels, label, allowed, max_labelled, doc_id)
     rows, twins, y = ftrl.collect_examples(docs, sample, features_and_twin, doc_id, text)
-    return ftrl.train(rows, y, DIM, twins, invariance, alpha=0.3, l1=9.0, l2=0.05, epochs=10)
+    return ftrl.train(rows, y, DIM, with_mentions(rows, twins), invariance, alpha=0.3, l1=9.0, l2=0.05, epochs=10)
 
 
 def score_toxicity(docs: DataFrame, model: ftrl.Linear, text: str = "text") -> DataFrame:
