@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import ascii_lower, cut
+from strataledger.llm.common import ascii_lower, cut, looked_up
 from strataledger.llm.components import connected_components
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
-MAX_RULES = 2000
 
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
@@ -51,30 +50,35 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
-def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, else null.
+def rule_table(spark: SparkSession, rules: DataFrame | Sequence[Rule]) -> DataFrame:
+    """(rule_host, rule_path, verdict), a row a rule, of a table (verdict, host, path) or of a list of triples.
+
+    Of rules that agree in host and path allow wins. Rules with a null part count for nothing.
+    """
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    kept = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").where("rule_host IS NOT NULL AND rule_path IS NOT NULL AND verdict IN ('allow', 'block')")
+    return kept.groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("verdict"))
+
+
+def matched_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """addresses (distinct host, path) that a rule fits, with own struct(rule, verdict): the longest rule.
 
     A rule fits its host and all subdomains where the path starts with the rule's. Of equally long rules (host and
-    path together) allow wins, then the later by code point. Only the host's own suffixes are looked at, so the cost
-    of a row does not grow with the paths of other hosts.
+    path together) allow wins, then the later by code point. Each address is posted under its host's suffixes and, for
+    each, under those starts of its path whose lengths some rule of that host has; both are looked up by equality, so
+    neither the number of rules nor a host with very many of them is gone through by an address.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules fit into an expression")
-    if not rules:
-        return F.lit(None).cast("struct<rule:string,verdict:string>")
-    by_host: dict[str, list[Column]] = {}
-    for verdict, rule_host, rule_path in rules:
-        by_host.setdefault(rule_host, []).append(
-            F.struct(F.lit(rule_path).alias("path"), F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))
-        )
-    known = F.create_map(*(x for h, entries in by_host.items() for x in (F.lit(h), F.array(*entries))))
-    parts = F.split(host, r"\.", -1)
+    of_host = looked_up(rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths")))
+    by_path = looked_up(rules.select(F.col("rule_host").alias("own_host"), F.col("rule_path").alias("own_path"), "verdict"))
+    parts = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    near = F.flatten(F.transform(suffixes, lambda s: F.coalesce(known[s], F.array().cast("array<struct<path:string,rule:string,verdict:string>>"))))
-    fits = F.filter(near, lambda r: F.startswith(path, r["path"]))
-    ranked = F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), (r["verdict"] == "allow").alias("a"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
-    best = F.array_max(ranked)
-    return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    posted = addresses.select("host", "path", F.explode(suffixes).alias("suffix")).join(of_host, F.col("suffix") == F.col("rule_host"))
+    starts = posted.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "suffix", F.substring("path", F.lit(1), F.col("n")).alias("start"))
+    fits = starts.join(by_path, (F.col("suffix") == F.col("own_host")) & (F.col("start") == F.col("own_path")))
+    rule = F.concat("own_host", "own_path")
+    best = F.max(F.struct(F.length(rule).alias("n"), (F.col("verdict") == "allow").alias("a"), rule.alias("rule"), "verdict"))
+    return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.struct(F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")).alias("own"))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -93,10 +97,11 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[Rule], edges: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """All of pages with host, path, rule and verdict, packed as (page, host, path, rule, verdict).
 
-    A page that a rule fits gets the longest rule's verdict. Every other page takes over the decision of its aliases,
+    rules is a table (verdict, host, path) of any size or a list of such triples. A page that a rule fits gets the
+    longest rule's verdict. Every other page takes over the decision of its aliases,
     which are all addresses joined to its own by redirects and canonical links in either direction, whether they are
     pages here or not: allow if a rule allows one of them, else block if a rule blocks one, else allow.
     edges (src_url, dst_url) adds redirects seen elsewhere, such as a crawler's log.
@@ -115,17 +120,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
     component = connected_components(linked)
     # a node starts with its host, so it is judged like the URL it was made of
     as_url = F.concat(F.lit("x://"), F.col("node"))
-    own = matched_rule(host_of(as_url), path_of(as_url), rules)
+    nodes = component.select("component", "node", host_of(as_url).alias("node_host"), path_of(as_url).alias("node_path"))
+    addresses = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    table = cut(rule_table(pages.sparkSession, rules))
+    own = looked_up(matched_rules(addresses.unionAll(nodes.select("node_host", "node_path")).distinct(), table).toDF("own_host", "own_path", "own"))
     decided = (
-        component.withColumn("own", own)
+        nodes.join(own, (F.col("node_host") == F.col("own_host")) & (F.col("node_path") == F.col("own_path")), "left")
         .groupBy("component")
         .agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
     )
-    aliases = component.join(decided, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
+    verdicts = decided.select(F.col("component").alias("of"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict")).where("alias_verdict IS NOT NULL")
+    aliases = looked_up(component.join(looked_up(verdicts), F.col("component") == F.col("of")).select(F.col("node").alias("alias"), "alias_verdict"))
     judged = pages.select(F.struct("*").alias("page")).select(
         "page", host_of(F.col(f"page.`{url}`")).alias("host"), path_of(F.col(f"page.`{url}`")).alias("path"), node_of(F.col(f"page.`{url}`")).alias("node")
     )
-    judged = judged.withColumn("own", matched_rule(F.col("host"), F.col("path"), rules))
-    return judged.join(aliases.where("alias_verdict IS NOT NULL"), "node", "left").select(
+    judged = judged.join(own, (F.col("host") == F.col("own_host")) & (F.col("path") == F.col("own_path")), "left")
+    return judged.join(aliases, F.col("node") == F.col("alias"), "left").select(
         "page", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias_verdict", F.lit("allow")).alias("verdict")
     )
