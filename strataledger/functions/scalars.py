@@ -30,7 +30,7 @@ def block_epoch(creation: Column) -> Column:
 
 def is_op_return(script: Column) -> Column:
     """The script begins with 0x6a; an empty or null one does not."""
-    return F.coalesce(F.substring(F.hex(script), 1, 2) == "6A", F.lit(False))
+    return F.coalesce(F.substring(script, 1, 1) == F.lit(b"\x6a"), F.lit(False))
 
 
 def size_class(size: Column, limits: Sequence[int] = SIZE_CLASSES) -> Column:
@@ -151,6 +151,7 @@ def version_of_file(name: Column) -> tuple[Column, Column]:
 
 def bucket_count(n: Column) -> Column:
     """Buckets of a hash table for n entries at a load of 0.836: a power of two of groups of 15, less one."""
+    # 0.836 and 15, the load and the group of the hash table.
     groups = F.floor((F.ceil(n / F.lit(0.836)) + 1) / 15)
     power = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(groups, F.lit(1)).cast("double"))))
     return F.when(n == 0, 0).when(n < 15, 29).otherwise(power * 15 - 1).cast("long")
@@ -161,4 +162,5 @@ def storage_decision(p: Column, hot: float, cold: float) -> Column:
 
 
 def confidence(p: Column) -> Column:
+    # The limits of high and medium confidence.
     return F.when((p >= 0.8) | (p <= 0.2), "high").when((p >= 0.6) | (p <= 0.4), "medium").otherwise("low")

@@ -66,3 +66,31 @@ def compare_benchmarks(one: DataFrame, other: DataFrame) -> tuple[DataFrame, Dat
     both = one.select("batch", F.col("tps").alias("tps_one")).join(other.select("batch", F.col("tps").alias("tps_other")), "batch").withColumn("speedup", F.try_divide("tps_one", "tps_other"))
     of = lambda c: [F.max(c).alias(f"max_{c}"), F.min(c).alias(f"min_{c}"), F.avg(c).alias(f"mean_{c}"), F.percentile(c, 0.5).alias(f"median_{c}")]
     return both, both.agg(*of("tps_one"), *of("tps_other"), *of("speedup"))
+
+
+def operation_rates(log: DataFrame) -> DataFrame:
+    """Per operation of an access log: how many, found and not, the share found, and how many for each height that the log spans."""
+    hit = F.col("found")
+    span = F.max("access_height") - F.min("access_height") + 1
+    return log.groupBy("op").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("n_found"), F.count_if(~hit).alias("n_failed"), (F.count_if(hit) / F.count("*")).alias("hit_rate"), (F.count("*") / span).alias("per_height")
+    )
+
+
+#: What a batch is first expected to hold of inserts, deletes and OP_RETURN outputs for each transaction.
+INSERT_FACTOR, DELETE_FACTOR, OP_RETURN_FACTOR = 6.0, 3.0, 0.2
+
+
+def sizing_factors(batches: DataFrame) -> DataFrame:
+    """(batch, insert_factor, delete_factor, op_return_factor) smoothed over batches (batch, n_tx, n_inserts, n_deletes, n_op_returns).
+
+    A batch without deletes leaves the factor of deletes as it was; batches without transactions are left out.
+    """
+    rows = batches.where("n_tx > 0")
+    per_tx = lambda c: F.col(c) / F.col("n_tx")
+    parts = [("insert_factor", per_tx("n_inserts"), INSERT_FACTOR), ("delete_factor", F.when(F.col("n_deletes") > 0, per_tx("n_deletes")), DELETE_FACTOR), ("op_return_factor", per_tx("n_op_returns"), OP_RETURN_FACTOR)]
+    out = None
+    for name, x, start in parts:
+        part = smoothed(rows, x, start).withColumnRenamed("factor", name)
+        out = part if out is None else out.join(part, "batch")
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataledger.functions.scalars import block_epoch, right_closed, value_class
+from strataledger.operators.stats import with_median
 from strataledger.schema import HOT_BLOCKS, PATTERN_EDGES, VALUE_CLASSES
 
 FEATURES = [
@@ -43,9 +44,9 @@ def capped_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
     return df.orderBy(hashed(*columns), *columns).limit(most)
 
 
-def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows in a seeded order."""
-    return df.orderBy(F.rand(seed))
+def shuffled(df: DataFrame, *columns: str, seed: int = 42) -> DataFrame:
+    """The rows in a seeded order of their hashed columns, whatever the partitioning; equal hashes in the columns' order."""
+    return df.orderBy(F.pmod(hashed(*columns) * (2 * seed + 1) + seed, F.lit(1_000_003)), *columns)
 
 
 def split(df: DataFrame, label: str, test: float, *columns: str) -> DataFrame:
@@ -53,15 +54,20 @@ def split(df: DataFrame, label: str, test: float, *columns: str) -> DataFrame:
     return df.withColumn("part", F.when(hashed(*columns) < int(test * 1_000_000), "test").otherwise("train"))
 
 
-def block_density(txo: DataFrame) -> Column:
-    return F.count("*").over(Window.partitionBy("creation_block"))
+def with_block_ranks(rows: DataFrame) -> DataFrame:
+    """rows with block_density, the outputs of their block, and value_percentile_in_block, the average rank of the value among them.
 
-
-def value_percentile(txo: DataFrame) -> Column:
-    """Average rank of the value in its block over the block's outputs."""
-    block, ties = Window.partitionBy("creation_block"), Window.partitionBy("creation_block", "value")
-    rank = F.rank().over(block.orderBy("value"))
-    return (rank + (F.count("*").over(ties) - 1) / F.lit(2.0)) / F.count("*").over(block)
+    Outputs are first counted by block and value; windows go over these counts, and rows look both up. So a block
+    with very many outputs costs a row for each different value, and on the outputs' side its rows can be split.
+    """
+    counts = rows.groupBy("creation_block", "value").agg(F.count("*").alias("n"))
+    block = Window.partitionBy("creation_block")
+    below = F.coalesce(F.sum("n").over(block.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    density = F.sum("n").over(block)
+    placed = counts.select(
+        F.col("creation_block").alias("block_"), F.col("value").alias("value_"), density.alias("block_density"), ((below + 1 + (F.col("n") - 1) / F.lit(2.0)) / density).alias("value_percentile_in_block")
+    )
+    return rows.join(placed, F.col("creation_block").eqNullSafe(F.col("block_")) & F.col("value").eqNullSafe(F.col("value_"))).drop("block_", "value_")
 
 
 def features(rows: DataFrame, leak_free: bool = False) -> DataFrame:
@@ -70,10 +76,10 @@ def features(rows: DataFrame, leak_free: bool = False) -> DataFrame:
     size = locking if leak_free else locking + F.coalesce("unlocking_script_size", F.lit(0))
     log_value = F.log10(F.col("value") + F.lit(1.0))
     classes = value_class(F.col("value"))
-    out = rows.withColumns(
+    out = with_block_ranks(rows).withColumns(
         {
             "log_value": log_value, "total_script_size": size, "block_time_proxy": F.col("creation_block") % 144, "creation_epoch": block_epoch(F.col("creation_block")), "is_coinbase": F.col("tx_coinbase").cast("int"),
-            "block_density": block_density(rows), "value_percentile_in_block": value_percentile(rows), "is_likely_change": (F.col("value") < 10_000) & (F.col("value") > 546), "is_likely_savings": F.col("value") > 100_000_000,
+            "is_likely_change": (F.col("value") < 10_000) & (F.col("value") > 546), "is_likely_savings": F.col("value") > 100_000_000,
         }
     )
     return out.withColumns(
@@ -88,11 +94,17 @@ def correlations(rows: DataFrame, names: list[str], target: str = "target") -> D
     return found.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.when(~F.isnan(n), F.col(n)).alias("correlation")) for n in names))).alias("x")).select("x.*")
 
 
+def strongest(found: DataFrame, k: int = 10) -> DataFrame:
+    """The k correlations of the greatest size with their place; of equal ones by name, and null ones last."""
+    by_size = [F.desc_nulls_last(F.abs("correlation")), F.asc("feature")]
+    return found.orderBy(*by_size).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*by_size)))
+
+
 def patterns(rows: DataFrame, by: Column, name: str) -> DataFrame:
     """Per group: rows, mean target, median duration and median value, rounded to 3 places."""
-    return rows.groupBy(by.alias(name)).agg(
-        F.count("*").alias("n"), F.round(F.avg("target"), 3).alias("mean_target"), F.round(F.percentile(F.col("duration").cast("double"), 0.5), 3).alias("median_duration"), F.round(F.percentile(F.col("value").cast("double"), 0.5), 3).alias("median_value")
-    )
+    rows = rows.withColumn(name, by)
+    found = rows.groupBy(name).agg(F.count("*").alias("n"), F.round(F.avg("target"), 3).alias("mean_target"), F.round(F.percentile(F.col("duration").cast("double"), 0.5), 3).alias("median_duration"))
+    return with_median(found, rows, [name], "value", "median_value").withColumn("median_value", F.round("median_value", 3))
 
 
 def value_patterns(rows: DataFrame) -> DataFrame:
@@ -105,6 +117,7 @@ def coinbase_patterns(rows: DataFrame) -> DataFrame:
 
 def heuristic_score(log_value: Column, likely_change: Column, likely_savings: Column) -> Column:
     """A hand-made probability: small and change-like outputs are spent sooner, large and savings-like ones later."""
+    # The limits and points of the published rule.
     points = F.when(log_value < 3, 0.3).when(log_value > 8, -0.3).otherwise(0.0) + F.when(likely_change, 0.4).otherwise(0.0) - F.when(likely_savings, 0.5).otherwise(0.0)
     return 1.0 / (1.0 + F.exp(-points))
 

@@ -6,15 +6,19 @@ ones. Deferred operations of a mutable store are joins here; what could not be d
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataledger.functions.scalars import bucket_count
+from strataledger.operators.asof import covering
 from strataledger.schema import KEY
 
+#: Bytes of an entry beside its payload: key, height and length.
+ENTRY_BYTES = 44
+
 
 def resolve_spends(outputs: DataFrame, inputs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """outputs with spent_height: null for unspent ones. One shuffled join emits both; an output is spent at most once."""
@@ -56,33 +60,52 @@ def apply_batch(state: DataFrame, inserts: DataFrame, deletes: DataFrame, keys:
     return rest.unionByName(added), failed
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, so that later batches do not carry the plans of earlier ones."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def folded(operations: DataFrame, payload: Sequence[str], keys: Sequence[str] = KEY, on_conflict: str = "first") -> DataFrame:
+    """(keys, held struct<batch, payload>, n_failed, n_operations): what any number of batches, applied in order, leave of each key.
+
+    operations: batch, op ('insert' or 'delete'), key columns, payload columns. It is apply_batch for all batches at
+    once: one aggregation by key, whose plan does not grow with the batches. A key that a batch both inserts and
+    deletes is netted within it, else its deletes come before its inserts. held is null for keys that are gone;
+    n_failed counts the deletes of keys that were not there, n_operations what netting has left. A key's operations meet in one row, so a key should not
+    have more than thousands of batches. Batches may come in any order; rows with a null batch count for nothing.
+    """
+    if on_conflict not in ("first", "last"):
+        raise ValueError("on_conflict is first or last")
+    row = F.struct("batch", (F.col("op") == "insert").alias("i"), F.struct("batch", *payload).alias("e"))
+    listed = operations.where("batch IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("ops"))
+    same = lambda x, side: F.exists("ops", lambda y: (y["batch"] == x["batch"]) & (y["i"] if side else ~y["i"]))
+    left = F.when(F.size("ops") > 1, F.filter("ops", lambda x: F.when(x["i"], ~same(x, False)).otherwise(~same(x, True)))).otherwise(F.col("ops"))
+    entry = operations.select(F.struct("batch", *payload).alias("e")).schema["e"].dataType
+    start = F.struct(F.lit(None).cast(entry).alias("held"), F.lit(-1).cast(operations.schema["batch"].dataType).alias("at"), F.lit(0).alias("failed"))
+
+    def step(s: Column, x: Column) -> Column:
+        kept = s["held"].isNotNull() if on_conflict == "first" else F.lit(False)
+        again = (s["at"] == x["batch"]) & ~x["i"]  # a delete asked for twice in a batch is one
+        return F.struct(
+            F.when(x["i"] & ~kept, x["e"]).when(x["i"], s["held"]).alias("held"), x["batch"].alias("at"), (s["failed"] + F.when(~x["i"] & s["held"].isNull() & ~again, 1).otherwise(0)).alias("failed")
+        )
+
+    end = F.aggregate("left", start, step)
+    return listed.withColumn("left", left).withColumn("end", end).select(*keys, F.col("end.held").alias("held"), F.col("end.failed").alias("n_failed"), F.size("left").alias("n_operations"))
+
+
+def operations_of(txo: DataFrame, blocks: int, payload: Sequence[str] = ("creation_block", "value")) -> DataFrame:
+    """The inserts and deletes of a history (batch, op, key columns, payload), by batches of blocks; the history is read once."""
+    at = lambda height: F.floor(F.col(height) / blocks).cast("int").alias("batch")
+    both = F.array(F.struct(at("creation_block"), F.lit("insert").alias("op")), F.struct(at("spent_block"), F.lit("delete").alias("op")))
+    rows = txo.select(*KEY, *payload, F.explode(both).alias("o")).where("o.batch IS NOT NULL")
+    shown = [F.when(F.col("o.op") == "insert", F.col(c)).alias(c) for c in payload]
+    return rows.select("o.batch", "o.op", *KEY, *shown)
 
 
 def fold_batches(txo: DataFrame, blocks: int) -> DataFrame:
-    """The ledger (key columns, creation_block, value) after every batch of blocks, applied in turn to an empty one.
+    """The ledger (key columns, creation_block, value) after every batch of blocks; deletes of unknown keys are an error.
 
     Batches go up to the greatest height of a creation or spend; an empty history leaves an empty ledger.
-    A delete that fails ends the fold, as the history is then not sound.
     """
-    rows = _cut(txo.select(*KEY, "creation_block", "spent_block", "value"))
-    last = rows.agg(F.max(F.greatest("creation_block", "spent_block"))).first()[0]
-    held = rows.drop("spent_block").limit(0)
-    for low in range(0, -1 if last is None else last + 1, blocks):
-        within = lambda height: F.col(height).between(low, low + blocks - 1)  # noqa: B023, E731
-        after, failed = apply_batch(held, rows.where(within("creation_block")).drop("spent_block"), rows.where(within("spent_block")).select(*KEY))
-        if not failed.isEmpty():
-            raise RuntimeError(f"blocks from {low}: deletes of unknown keys")
-        held = _cut(after)
-    return held
+    ends = folded(operations_of(txo, blocks), ["creation_block", "value"])
+    sound = F.when(F.col("n_failed") > 0, F.raise_error(F.concat_ws(" ", F.lit("delete of an unknown key:"), *KEY)).cast("boolean")).otherwise(F.col("held").isNotNull())
+    return ends.where(sound).select(*KEY, "held.creation_block", "held.value")
 
 
 def state_at(txo: DataFrame, height: int) -> DataFrame:
@@ -129,8 +152,8 @@ def zone_map(ledger: DataFrame, key: str = "tx_id", height: str = "creation_bloc
 
 
 def zone_candidates(wanted: DataFrame, zones: DataFrame, key: str = "tx_id") -> DataFrame:
-    """Per wanted key the number of file groups whose key range holds it; zones has a row a file group and is broadcast."""
-    return wanted.join(F.broadcast(zones), F.col(key).between(F.col("min_key"), F.col("max_key")), "left").groupBy(*wanted.columns).agg(F.count("min_key").alias("n_zones"))
+    """wanted with the number of file groups whose key range holds each key, by a sweep over the ends of the ranges."""
+    return covering(wanted, zones, key, "min_key", "max_key", "n_zones")
 
 
 def compact(ledger: DataFrame, target_rows: int) -> DataFrame:
@@ -152,3 +175,57 @@ def layout_report(ledger: DataFrame, capacity: int, size: str = "locking_script_
     return ledger.groupBy("container").agg(F.countDistinct("version").alias("n_versions"), F.count("*").alias("n"), F.sum(F.col(size).cast("long")).alias("bytes")).withColumns(
         {"fill": F.col("n") / (F.col("n_versions") * capacity), "wasted": F.col("n_versions") * capacity - F.col("n")}
     )
+
+
+def deferred(ledger: DataFrame, erased: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """erased (keys, height, version) with depth: how many versions of files lie between the newest at that height and the entry's; null where there is no entry.
+
+    A delete of depth 0 is done at once, others wait for the files of older versions.
+    """
+    entries = ledger.select(*keys, F.col("version").alias("entry_version"))
+    return erased.join(entries, list(keys), "left").withColumn("depth", F.when(F.col("entry_version").isNotNull(), F.greatest(F.col("version") - F.col("entry_version"), F.lit(0)))).drop("entry_version")
+
+
+def container_operations(erased: DataFrame) -> DataFrame:
+    """Per container of erased (container, depth): deletes asked for, done at once, deferred and failed; files are never rehashed."""
+    return erased.groupBy("container").agg(
+        F.count("*").alias("n_asked"), F.count_if(F.col("depth") == 0).alias("n_deleted"), F.count_if(F.col("depth") > 0).alias("n_deferred"), F.count_if(F.col("depth").isNull()).alias("n_failed"), F.lit(None).cast("int").alias("n_rehash")
+    )
+
+
+def deferred_summary(erased: DataFrame) -> DataFrame:
+    """Of erased (batch, depth): deferred and failed deletes, runs that process them (a batch each), the longest queue, and depths."""
+    waits = F.col("depth") > 0
+    runs = erased.groupBy("batch").agg(
+        F.count_if(waits).alias("waiting"), F.count_if(F.col("depth").isNull()).alias("failed"), F.sum(F.when(waits, F.col("depth"))).alias("depths"), F.max(F.when(waits, F.col("depth"))).alias("deepest")
+    )
+    return runs.agg(
+        F.sum("waiting").alias("n_deferred"), F.sum("failed").alias("n_failed"), F.count_if(F.col("waiting") > 0).alias("n_runs"), F.max("waiting").alias("longest_queue"),
+        (F.sum("depths") / F.sum("waiting")).alias("mean_depth"), F.max("deepest").alias("max_depth"),
+    )
+
+
+def memory_estimate(ledger: DataFrame, limits: Sequence[int], size: str = "locking_script_size") -> DataFrame:
+    """Per container: what its files take (slots of the class's size for the buckets that each version needs), what its entries need, the ratio and what is wasted."""
+    slot = F.element_at(F.array(*(F.lit(n + ENTRY_BYTES) for n in limits)), F.col("container") + 1).cast("long")
+    files = ledger.groupBy("container", "version").agg(F.count("*").alias("n"), F.sum(F.col(size) + F.lit(ENTRY_BYTES)).alias("used"))
+    sized = files.withColumn("estimate", bucket_count(F.col("n")) * slot)
+    return sized.groupBy("container").agg(F.count("*").alias("n_versions"), F.sum("estimate").alias("estimate"), F.sum("used").alias("used")).withColumns({"fill": F.col("used") / F.col("estimate"), "wasted": F.col("estimate") - F.col("used")})
+
+
+def rotated(rows: DataFrame, limit: int, height: str = "creation_block", keys: Sequence[str] = KEY) -> DataFrame:
+    """rows with version: a set that goes on to a new version after every limit inserts, in order of height and key.
+
+    Inserts are counted by height first, so one row a height is in one order, and rows are ranked within theirs.
+    """
+    sizes = rows.groupBy(F.col(height).alias("at_")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(height).orderBy(*keys)) - 1
+    placed = rows.withColumn("rank_", rank).join(sizes.select("at_", before.alias("before_")), F.col(height) == F.col("at_"))
+    return placed.withColumn("version", F.floor((F.col("before_") + F.col("rank_")) / limit).cast("int")).drop("rank_", "at_", "before_")
+
+
+def cached_order(files: DataFrame) -> DataFrame:
+    """files (container, version) with place: containers in order, the newest version of each first."""
+    by = [F.asc("container"), F.desc("version")]
+    return files.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # a row a file group

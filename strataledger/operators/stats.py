@@ -13,7 +13,10 @@ from strataledger.schema import LAST_SEGMENT, SEGMENT
 
 
 def summary(x: Column, name: str) -> list[Column]:
-    """count, mean, exact median (midpoint of the middle two), min and max of the non-null values."""
+    """count, mean, exact median (midpoint of the middle two), min and max of the non-null values.
+
+    For columns of few different values (ages, sizes): percentile() holds each of them. Amounts go to amount_summary.
+    """
     return [
         F.count(x).alias(f"n_{name}"), F.avg(x).alias(f"mean_{name}"), F.percentile(x.cast("double"), 0.5).alias(f"median_{name}"), F.min(x).alias(f"min_{name}"), F.max(x).alias(f"max_{name}"),
     ]
@@ -53,6 +56,20 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def with_median(stats: DataFrame, rows: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """stats (a row a group) with the exact median of an amount of the groups' rows, by grouped_median; null where there is none."""
+    found = grouped_median(rows, keys, column, name)
+    if not keys:  # one row each
+        return stats.crossJoin(F.broadcast(found))
+    found = found.select(*(F.col(k).alias(f"of_{k}") for k in keys), name)
+    return stats.join(found, _all([F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]), "left").drop(*(f"of_{k}" for k in keys))
+
+
+def amount_summary(x: Column, name: str) -> list[Column]:
+    """summary without the median, which with_median adds."""
+    return [F.count(x).alias(f"n_{name}"), F.avg(x).alias(f"mean_{name}"), F.min(x).alias(f"min_{name}"), F.max(x).alias(f"max_{name}")]
+
+
 def spent_stats(txo: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Spent outputs: totals, those of lifespan 0, and lifespan statistics of the others; one pass for any keys."""
     positive = F.when(F.col("duration") > 0, F.col("duration"))
@@ -61,7 +78,9 @@ def spent_stats(txo: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def amount_stats(txo: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Unspent outputs: statistics of amount and locking script size."""
-    return txo.where("NOT event").groupBy(*keys).agg(F.count("*").alias("n_unspent"), *summary(F.col("value"), "value"), *summary(F.col("locking_script_size"), "script"))
+    rows = txo.where("NOT event")
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n_unspent"), *amount_summary(F.col("value"), "value"), *summary(F.col("locking_script_size"), "script"))
+    return with_median(stats, rows, keys, "value", "median_value")
 
 
 def by_segment(txo: DataFrame, size: int = SEGMENT) -> DataFrame:
@@ -82,23 +101,30 @@ def histogram(df: DataFrame, x: Column, edges: Sequence[float], rule: Callable[[
     return bins.join(F.broadcast(counts), F.col("bin").eqNullSafe(F.col("found")), "left").select("bin", F.coalesce("counted", F.lit(0)).alias("n"))
 
 
-def equal_width_histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
-    """(bin, low, n): bins of equal width from the least to the greatest value, the last one closed; empty bins have no row."""
-    ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+def equal_width_histogram(df: DataFrame, column: str, bins: int = 100, keys: Sequence[str] = (), common: Sequence[str] | None = None) -> DataFrame:
+    """(keys, bin, low, n): bins of equal width from the least to the greatest value, the last one closed; empty bins have no row.
+
+    Each group of keys has its own ends, or, with `common` (some of the keys), those of all groups that agree in these:
+    sides can then be compared bin by bin.
+    """
+    of = list(keys if common is None else common)
+    own = df.groupBy(*of).agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).select(*(F.col(k).alias(f"end_{k}") for k in of), "lo", "hi")
+    rows = df.where(F.col(column).isNotNull()).select(*keys, column)
+    # a row a group of keys: segments and sides, never outputs
+    met = rows.join(F.broadcast(own), _all([F.col(k).eqNullSafe(F.col(f"end_{k}")) for k in of])) if of else rows.crossJoin(F.broadcast(own))
     at = F.least(F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    placed = df.select(column).crossJoin(F.broadcast(ends)).select(F.when(F.col("hi") > F.col("lo"), at).otherwise(0).alias("bin"), "lo", "hi")
-    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.first(F.col("lo")).alias("lo"), F.first(F.col("hi")).alias("hi")).select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("low"), "n")
+    placed = met.select(*keys, F.when(F.col("hi") > F.col("lo"), at).otherwise(0).alias("bin"), "lo", "hi")
+    return placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first(F.col("lo")).alias("lo"), F.first(F.col("hi")).alias("hi")).select(*keys, "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("low"), "n")
 
 
 def compare_spent_unspent(txo: DataFrame) -> DataFrame:
     """Mean and median amount and script size of spent (lifespan over 0) and unspent outputs, and their ratios; null where the divisor is 0."""
-    spent, unspent = F.col("event") & (F.col("duration") > 0), ~F.col("event")
-    sides = []
-    for name, column in (("value", "value"), ("script", "locking_script_size")):
-        for side, of in (("spent", spent), ("unspent", unspent)):
-            x = F.when(of, F.col(column))
-            sides += [F.avg(x).alias(f"mean_{name}_{side}"), F.percentile(x.cast("double"), 0.5).alias(f"median_{name}_{side}")]
-    both = txo.agg(*sides)
+    side = F.when(F.col("event") & (F.col("duration") > 0), "spent").when(~F.col("event"), "unspent")
+    rows = txo.select(side.alias("side"), "value", "locking_script_size").where("side IS NOT NULL")
+    found = [F.avg("value").alias("mean_value"), F.avg("locking_script_size").alias("mean_script"), F.percentile(F.col("locking_script_size").cast("double"), 0.5).alias("median_script")]
+    by_side = with_median(rows.groupBy("side").agg(*found), rows, ["side"], "value", "median_value")  # a row a side
+    names = [f"{what}_{name}" for name in ("value", "script") for what in ("mean", "median")]
+    both = by_side.agg(*(F.max(F.when(F.col("side") == of, F.col(n))).alias(f"{n}_{of}") for n in names for of in ("spent", "unspent")))
     return both.withColumns({f"{what}_{name}_ratio": F.try_divide(F.col(f"{what}_{name}_unspent"), F.col(f"{what}_{name}_spent")) for name in ("value", "script") for what in ("mean", "median")})
 
 
@@ -114,6 +140,14 @@ def compare_segments(txo: DataFrame, how: str = "full_outer") -> DataFrame:
     return found.where("n_spent > 0 AND n_unspent > 0") if how == "inner" else found
 
 
+def segment_medians(txo: DataFrame) -> DataFrame:
+    """Median amounts of spent and unspent outputs by segment, and their ratio where both sides have outputs."""
+    found = grouped_median(by_segment(txo), ["segment", "event"], "value")
+    side = lambda is_: F.max(F.when(F.col("event") == is_, F.col("median")))
+    both = found.groupBy("segment").agg(side(True).alias("median_value_spent"), side(False).alias("median_value_unspent"))
+    return both.withColumn("median_value_ratio", F.try_divide("median_value_unspent", "median_value_spent"))
+
+
 def rollup_segments(txo: DataFrame) -> DataFrame:
     """Spent statistics by segment and overall (null segment) in one plan."""
     spent = by_segment(txo).where("event")

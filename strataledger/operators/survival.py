@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataledger.operators.asof import step_at
+
 
 def kaplan_meier(rows: DataFrame, duration: str = "duration", event: str = "event") -> DataFrame:
     """(duration, at_risk, deaths, survival): the product-limit estimate, with a row of 1 at age 0.
@@ -25,21 +27,14 @@ def kaplan_meier(rows: DataFrame, duration: str = "duration", event: str = "even
 
 
 def survival_at(probes: DataFrame, curve: DataFrame, at: str = "at") -> DataFrame:
-    """probes with the survival at the greatest age of the curve that is not above theirs; null before the first.
+    """probes with the survival at the greatest age of the curve that is not above theirs; null before the first."""
+    return step_at(probes, curve, at, "duration", "survival", "survival")
 
-    Probes and curve are put in one order and the last curve value is carried on, so no probe meets the whole curve.
-    Runs of ages are dealt to tasks by range; each run starts from the last value of those before, found from their maxima.
-    """
-    width = 10_000
-    own = probes.select(F.struct("*").alias("probe"), F.col(at).cast("long").alias("t"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("kind"))
-    steps = curve.select(F.lit(None).cast(own.schema["probe"].dataType).alias("probe"), F.col("duration").cast("long").alias("t"), F.col("survival").alias("s"), F.lit(0).alias("kind"))
-    run = F.floor(F.col("t") / width)
-    ends = steps.groupBy(run.alias("run")).agg(F.max_by("s", "t").alias("last"))
-    # a row a run of ages: few, whatever the number of probes
-    runs = own.select(run.alias("run")).distinct().unionAll(ends.select("run")).distinct().join(ends, "run", "left")
-    before = F.last("last", ignorenulls=True).over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    starts = runs.select(F.col("run").alias("start_run"), before.alias("start"))
-    both = own.unionAll(steps).withColumn("run", run)
-    carried = F.last("s", ignorenulls=True).over(Window.partitionBy("run").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("carried", carried).where("kind = 1").join(starts, F.col("run") == F.col("start_run"), "left")
-    return found.select("probe.*", F.coalesce("carried", "start").alias("survival"))
+
+def save_curve(curve: DataFrame, path: str) -> None:
+    """The curve as Parquet, in order of age: a row a different age."""
+    curve.repartitionByRange(1, "duration").sortWithinPartitions("duration").write.mode("overwrite").parquet(path)
+
+
+def load_curve(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("duration int, at_risk long, deaths long, survival double").parquet(path)

@@ -25,8 +25,7 @@ def survival_asof(spark, sf_dir):
 
 @register("block_density", "SELECT DISTINCT creation_block, count(*) OVER (PARTITION BY creation_block) AS density FROM txo")
 def block_density(spark, sf_dir):
-    rows = txo(spark, sf_dir)
-    return rows.select("creation_block", features.block_density(rows).alias("density")).distinct()
+    return txo(spark, sf_dir).groupBy("creation_block").agg(F.count("*").alias("density"))
 
 
 _PCT = "(rank() OVER (PARTITION BY creation_block ORDER BY value) + (count(*) OVER (PARTITION BY creation_block, value) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY creation_block)"
@@ -34,8 +33,8 @@ _PCT = "(rank() OVER (PARTITION BY creation_block ORDER BY value) + (count(*) OV
 
 @register("value_pct_in_block", f"SELECT tx_id, vout, {_PCT} AS pct FROM txo")
 def value_pct_in_block(spark, sf_dir):
-    rows = txo(spark, sf_dir)
-    return rows.select("tx_id", "vout", features.value_percentile(rows).alias("pct"))
+    rows = txo(spark, sf_dir).select("tx_id", "vout", "creation_block", "value")
+    return features.with_block_ranks(rows).select("tx_id", "vout", F.col("value_percentile_in_block").alias("pct"))
 
 
 _CLEAN = ", clean AS (SELECT *, CAST(event AND duration <= 1000 AS INT) AS target FROM txo WHERE value > 0 AND NOT op_return AND (event OR duration >= 1000))"
@@ -74,21 +73,18 @@ def features_leak_free(spark, sf_dir):
     return _features(spark, sf_dir, leak_free=True).select("tx_id", "vout", "total_script_size", "script_efficiency")
 
 
-_CORR = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr(CAST({f} AS DOUBLE), CAST(target AS DOUBLE)), 6) AS correlation FROM feat" for f in features.FEATURES[:11])
+_CORR = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr(CAST({f} AS DOUBLE), CAST(target AS DOUBLE)), 6) AS correlation FROM feat" for f in features.FEATURES)
 
 
 @register("feature_correlations", f"{_FEATURES} SELECT feature, CASE WHEN isnan(correlation) THEN NULL ELSE correlation END AS correlation FROM ({_CORR})")
 def feature_correlations(spark, sf_dir):
-    return features.correlations(_features(spark, sf_dir), features.FEATURES[:11]).withColumn("correlation", F.round("correlation", 6))
-
+    return features.correlations(_features(spark, sf_dir), features.FEATURES).withColumn("correlation", F.round("correlation", 6))
 
-_CORR17 = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr(CAST({f} AS DOUBLE), CAST(target AS DOUBLE)), 6) AS correlation FROM feat" for f in features.FEATURES)
 
-
-@register("feature_correlations17", f"{_FEATURES} SELECT feature, CASE WHEN isnan(correlation) THEN NULL ELSE correlation END AS correlation FROM ({_CORR17})")
-def feature_correlations17(spark, sf_dir):
-    """All features, the classes of value included."""
-    return features.correlations(_features(spark, sf_dir), features.FEATURES).withColumn("correlation", F.round("correlation", 6))
+@register("top_correlations", f"{_FEATURES}, c AS (SELECT feature, CASE WHEN isnan(correlation) THEN NULL ELSE correlation END AS correlation FROM ({_CORR})) SELECT *, CAST(row_number() OVER (ORDER BY abs(correlation) DESC NULLS LAST, feature) AS INT) AS place FROM c QUALIFY place <= 10")
+def top_correlations(spark, sf_dir):
+    """The ten features that correlate most with the target, by size."""
+    return features.strongest(feature_correlations(spark, sf_dir))
 
 
 _PATTERN = "count(*) AS n, round(avg(target), 3) AS mean_target, round(median(duration), 3) AS median_duration, CAST(round(median(value), 3) AS DOUBLE) AS median_value FROM clean GROUP BY 1"
@@ -264,7 +260,17 @@ def _models():
 _models()
 
 
-@register("stream_fold", None)
+@register("shuffled_rows", f"SELECT tx_id, vout, CAST(row_number() OVER (ORDER BY ({_HASH} * 85 + 42) % 1000003, tx_id, vout) AS INT) AS place FROM txo QUALIFY place <= 50")
+def shuffled_rows(spark, sf_dir):
+    """The first 50 outputs of a seeded order."""
+    from pyspark.sql.window import Window
+
+    first = features.shuffled(txo(spark, sf_dir).select("tx_id", "vout"), "tx_id", "vout").limit(50)
+    order = F.pmod(features.hashed("tx_id", "vout") * 85 + 42, F.lit(1_000_003))
+    return first.withColumn("place", F.row_number().over(Window.orderBy(order, "tx_id", "vout")))
+
+
+@register("stream_fold", "SELECT tx_id, vout, creation_block, value FROM txo WHERE NOT event")
 def stream_fold(spark, sf_dir):
     """The ledger after a stream of batches, which equals the unspent outputs."""
     from strataledger.streaming.fold import replay

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strataledger.functions import scalars
 from strataledger.operators import access, state
-from strataledger.plans.registry import ACCESS, register
-from strataledger.schema import KEY
+from strataledger.plans.registry import ACCESS, RECURSIVE, register
+from strataledger.schema import KEY, SIZE_CLASSES
 from strataledger.sources.txo import txo
 
 HEIGHT, LOW, HIGH, BATCH = 400_000, 300_000, 400_000, 100_000
@@ -42,24 +42,32 @@ def in_batch_netting(spark, sf_dir):
     return state.netting_counts(_batch_rows(spark, sf_dir))
 
 
-@register("apply_batch_sequence", f"SELECT tx_id, vout, creation_block, value FROM txo WHERE creation_block < {3 * BATCH} AND (spent_block IS NULL OR spent_block >= {3 * BATCH})")
+@register("apply_batch_sequence", "SELECT tx_id, vout, creation_block, value FROM txo WHERE NOT event")
 def apply_batch_sequence(spark, sf_dir):
-    """Three batches applied in turn to an empty ledger."""
-    rows = txo(spark, sf_dir).select(*KEY, "creation_block", "spent_block", "value")
-    held = rows.select(*KEY, "creation_block", "value").limit(0)
-    for k in range(3):
-        created = rows.where(f"creation_block >= {k * BATCH} AND creation_block < {(k + 1) * BATCH}").select(*KEY, "creation_block", "value")
-        spent = rows.where(f"spent_block >= {k * BATCH} AND spent_block < {(k + 1) * BATCH}").select(*KEY)
-        held, _ = state.apply_batch(held, created, spent)
-    return held
-
-
-@register("apply_all_batches", "SELECT tx_id, vout, creation_block, value FROM txo WHERE NOT event")
-def apply_all_batches(spark, sf_dir):
-    """Every batch of the history applied in turn to an empty ledger."""
+    """Every batch of the history applied in order to an empty ledger, all in one aggregation by key."""
     return state.fold_batches(txo(spark, sf_dir), BATCH)
 
 
+_WRITES = ", w AS (SELECT tx_id, CAST(vout % 2 AS INT) AS vout, CAST(creation_block // 50000 + vout AS INT) AS batch, value FROM txo), d AS (SELECT DISTINCT tx_id, CAST(vout % 2 AS INT) AS vout, CAST(spent_block // 50000 AS INT) AS batch FROM txo WHERE event)"
+
+
+@register(
+    "folded_conflicts",
+    f"{_WRITES}, i AS (SELECT tx_id, vout, batch, min(value) AS value FROM w GROUP BY ALL), ops AS (SELECT tx_id, vout, batch, true AS ins, value FROM i ANTI JOIN d USING (tx_id, vout, batch) UNION ALL SELECT tx_id, vout, batch, false, NULL FROM d ANTI JOIN i USING (tx_id, vout, batch)), "
+    "seen AS (SELECT *, lag(ins) OVER (PARTITION BY tx_id, vout ORDER BY batch) AS before FROM ops), g AS (SELECT tx_id, vout, max(batch) FILTER (WHERE NOT ins) AS gone, CAST(count(*) FILTER (WHERE NOT ins AND NOT coalesce(before, false)) AS INT) AS n_failed FROM seen GROUP BY ALL) "
+    "SELECT g.tx_id, g.vout, arg_min(o.value, o.batch) FILTER (WHERE o.ins AND (gone IS NULL OR o.batch > gone)) AS value, min(o.batch) FILTER (WHERE o.ins AND (gone IS NULL OR o.batch > gone)) AS batch, any_value(n_failed) AS n_failed FROM g JOIN ops o USING (tx_id, vout) GROUP BY ALL",
+)
+def folded_conflicts(spark, sf_dir):
+    """Keys that are written and deleted several times: netting, first writes that stay, and deletes that find nothing."""
+    rows = txo(spark, sf_dir).select("tx_id", (F.col("vout") % 2).cast("int").alias("key"), "vout", "creation_block", "spent_block", "value")
+    key = F.col("key").alias("vout")
+    made = rows.select((F.floor(F.col("creation_block") / 50_000) + F.col("vout")).cast("int").alias("batch"), F.lit("insert").alias("op"), "tx_id", key, "value")
+    gone = rows.where("spent_block IS NOT NULL").select(F.floor(F.col("spent_block") / 50_000).cast("int").alias("batch"), F.lit("delete").alias("op"), "tx_id", key, F.lit(None).cast("long").alias("value"))
+    ends = state.folded(made.unionAll(gone), ["value"])
+    # keys of which nothing is left once every batch is netted have no row
+    return ends.where("held IS NOT NULL OR n_operations > 0").select(*KEY, "held.value", "held.batch", "n_failed")
+
+
 @register("state_at_height", f"SELECT tx_id, vout, creation_block, value FROM txo WHERE creation_block <= {HEIGHT} AND (spent_block IS NULL OR spent_block > {HEIGHT})")
 def state_at_height(spark, sf_dir):
     return state.state_at(txo(spark, sf_dir), HEIGHT).select(*KEY, "creation_block", "value")
@@ -238,9 +246,14 @@ def bucket_counts(spark, sf_dir):
     return n.withColumn("buckets", scalars.bucket_count(F.col("n")))
 
 
-@register("transaction_batches", None)
+@register(
+    "transaction_batches",
+    ", b AS MATERIALIZED (SELECT creation_block AS height, count(DISTINCT tx_id) AS n_tx, row_number() OVER (ORDER BY creation_block) AS k FROM txo GROUP BY 1), "
+    "r(k, height, n_tx, batch, held) AS (SELECT k, height, n_tx, CAST(0 AS BIGINT), CAST(n_tx AS BIGINT) FROM b WHERE k = 1 UNION ALL SELECT b.k, b.height, b.n_tx, r.batch + CASE WHEN r.held >= 1000 THEN 1 ELSE 0 END, CASE WHEN r.held >= 1000 THEN 0 ELSE r.held END + b.n_tx FROM r JOIN b ON b.k = r.k + 1) SELECT height, n_tx, CAST(batch AS INT) AS batch FROM r",
+    RECURSIVE,
+)
 def transaction_batches(spark, sf_dir):
-    """Blocks cut greedily into batches of at least 1000 transactions; no oracle, tested against a loop."""
+    """Blocks cut greedily into batches of at least 1000 transactions."""
     from strataledger.sources.files import batches_of
 
     blocks = txo(spark, sf_dir).groupBy(F.col("creation_block").alias("height")).agg(F.countDistinct("tx_id").alias("n_tx"))
@@ -329,3 +342,85 @@ def activity_windows(spark, sf_dir):
     from strataledger.streaming.matching import windowed_activity
 
     return windowed_activity(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 6))
+
+
+_OPS = f"{_LAID}, e AS (SELECT tx_id, CAST(vout + CASE WHEN op_return THEN 1000 ELSE 0 END AS INT) AS vout, container, spent_block // {BATCH} AS batch, spent_block // 50000 AS newest FROM laid WHERE event), x AS (SELECT e.*, CASE WHEN l.tx_id IS NOT NULL THEN greatest(newest - version, 0) END AS depth FROM e LEFT JOIN laid l ON e.tx_id = l.tx_id AND e.vout = l.vout)"
+
+
+def _erased(spark, sf_dir):
+    """The deletes of a history with their depth; those of OP_RETURN outputs ask for an index that does not exist."""
+    laid = _laid(spark, sf_dir)
+    asked = laid.where("event").select(
+        "tx_id", (F.col("vout") + F.when(F.col("op_return"), 1000).otherwise(0)).cast("int").alias("vout"), "container", F.floor(F.col("spent_block") / BATCH).alias("batch"), F.floor(F.col("spent_block") / 50_000).cast("int").alias("version")
+    )
+    return state.deferred(laid.select(*KEY, "version"), asked)
+
+
+@register("container_operations", f"{_OPS} SELECT container, count(*) AS n_asked, count(*) FILTER (WHERE depth = 0) AS n_deleted, count(*) FILTER (WHERE depth > 0) AS n_deferred, count(*) FILTER (WHERE depth IS NULL) AS n_failed, CAST(NULL AS INT) AS n_rehash FROM x GROUP BY 1")
+def container_operations(spark, sf_dir):
+    return state.container_operations(_erased(spark, sf_dir))
+
+
+@register(
+    "deferred_summary",
+    f"{_OPS}, runs AS (SELECT batch, count(*) FILTER (WHERE depth > 0) AS waiting, count(*) FILTER (WHERE depth IS NULL) AS failed, sum(depth) FILTER (WHERE depth > 0) AS depths, max(depth) FILTER (WHERE depth > 0) AS deepest FROM x GROUP BY 1) "
+    "SELECT CAST(sum(waiting) AS BIGINT) AS n_deferred, CAST(sum(failed) AS BIGINT) AS n_failed, count(*) FILTER (WHERE waiting > 0) AS n_runs, max(waiting) AS longest_queue, CAST(sum(depths) AS DOUBLE) / CAST(sum(waiting) AS DOUBLE) AS mean_depth, CAST(max(deepest) AS INT) AS max_depth FROM runs",
+)
+def deferred_summary(spark, sf_dir):
+    return state.deferred_summary(_erased(spark, sf_dir))
+
+
+@register("deletions_by_depth", f"{_OPS} SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM x GROUP BY 1")
+def deletions_by_depth(spark, sf_dir):
+    return _erased(spark, sf_dir).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+_BUCKETS = "CASE WHEN n < 15 THEN 29 ELSE CAST(power(2, ceil(log2(greatest(floor((ceil(n / CAST(0.836 AS DOUBLE)) + 1) / 15), 1)))) * 15 - 1 AS BIGINT) END"
+
+
+@register(
+    "memory_estimate",
+    f"{_LAID}, f AS (SELECT container, version, count(*) AS n, CAST(sum(locking_script_size + 44) AS BIGINT) AS used FROM laid GROUP BY 1, 2), s AS (SELECT container, used, {_BUCKETS} * (CASE container WHEN 0 THEN 44 WHEN 1 THEN 128 WHEN 2 THEN 512 ELSE 10240 END + 44) AS estimate FROM f), "
+    "t AS (SELECT container, count(*) AS n_versions, CAST(sum(estimate) AS BIGINT) AS estimate, CAST(sum(used) AS BIGINT) AS used FROM s GROUP BY 1) SELECT *, used / CAST(estimate AS DOUBLE) AS fill, estimate - used AS wasted FROM t",
+)
+def memory_estimate(spark, sf_dir):
+    return state.memory_estimate(_laid(spark, sf_dir), SIZE_CLASSES)
+
+
+@register("cached_files", f"{_LAID}, f AS (SELECT DISTINCT container, version FROM laid) SELECT container, version, CAST(row_number() OVER (ORDER BY container, version DESC) AS INT) AS place FROM f")
+def cached_files(spark, sf_dir):
+    return state.cached_order(_laid(spark, sf_dir).select("container", "version").distinct())
+
+
+@register("op_return_versions", ", r AS (SELECT *, CAST((row_number() OVER (ORDER BY creation_block, tx_id, vout) - 1) // 500 AS INT) AS version FROM txo WHERE op_return) SELECT version, count(*) AS n_inserts, count(*) FILTER (WHERE event) AS n_erased, count(*) FILTER (WHERE NOT event) AS n_current, min(creation_block) AS min_height, max(creation_block) AS max_height FROM r GROUP BY 1")
+def op_return_versions(spark, sf_dir):
+    """The set of OP_RETURN outputs, a new version after every 500: what each version was given, has lost and still holds."""
+    placed = state.rotated(txo(spark, sf_dir).where("op_return"), 500)
+    return placed.groupBy("version").agg(F.count("*").alias("n_inserts"), F.count_if("event").alias("n_erased"), F.count_if(~F.col("event")).alias("n_current"), F.min("creation_block").alias("min_height"), F.max("creation_block").alias("max_height"))
+
+
+def _batch_sizes(spark, sf_dir):
+    """Per batch its transactions, and what is inserted (OP_RETURN apart) and deleted once it is netted."""
+    rows = txo(spark, sf_dir).withColumns({"came": F.floor(F.col("creation_block") / BATCH).cast("int"), "went": F.floor(F.col("spent_block") / BATCH).cast("int")})
+    here = F.coalesce(F.col("came") == F.col("went"), F.lit(False))
+    made = rows.groupBy(F.col("came").alias("batch")).agg(F.countDistinct("tx_id").alias("n_tx"), F.count_if(~here & ~F.col("op_return")).alias("n_inserts"), F.count_if(~here & F.col("op_return")).alias("n_op_returns"))
+    gone = rows.where(F.col("went").isNotNull() & ~here).groupBy(F.col("went").alias("batch")).agg(F.count("*").alias("n_deletes"))
+    return made.join(gone, "batch", "left").withColumn("n_deletes", F.coalesce("n_deletes", F.lit(0)))
+
+
+@register(
+    "sizing_factors",
+    f", r AS (SELECT *, CAST(creation_block // {BATCH} AS INT) AS came, CAST(spent_block // {BATCH} AS INT) AS went FROM txo), m AS (SELECT came AS batch, count(DISTINCT tx_id) AS n_tx, count(*) FILTER (WHERE came IS DISTINCT FROM went AND NOT op_return) AS n_ins, count(*) FILTER (WHERE came IS DISTINCT FROM went AND op_return) AS n_op FROM r GROUP BY 1), "
+    "g AS (SELECT went AS batch, count(*) AS n_del FROM r WHERE went IS NOT NULL AND came <> went GROUP BY 1), k AS MATERIALIZED (SELECT m.*, coalesce(n_del, 0) AS n_del, row_number() OVER (ORDER BY m.batch) AS k FROM m LEFT JOIN g ON m.batch = g.batch), "
+    "e(k, batch, i, d, o) AS (SELECT CAST(0 AS BIGINT), -1, CAST(6 AS DOUBLE), CAST(3 AS DOUBLE), CAST(0.2 AS DOUBLE) UNION ALL SELECT k.k, k.batch, CAST(0.1 AS DOUBLE) * n_ins / n_tx + CAST(0.9 AS DOUBLE) * i, CASE WHEN n_del = 0 THEN d ELSE CAST(0.1 AS DOUBLE) * n_del / n_tx + CAST(0.9 AS DOUBLE) * d END, CAST(0.1 AS DOUBLE) * n_op / n_tx + CAST(0.9 AS DOUBLE) * o FROM e JOIN k ON k.k = e.k + 1) "
+    "SELECT batch, round(i, 6) AS insert_factor, round(d, 6) AS delete_factor, round(o, 6) AS op_return_factor FROM e WHERE k > 0",
+    RECURSIVE,
+)
+def sizing_factors(spark, sf_dir):
+    found = access.sizing_factors(_batch_sizes(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in found.columns[1:]})
+
+
+@register("operation_rates", "SELECT op, count(*) AS n, count(*) FILTER (WHERE found) AS n_found, count(*) FILTER (WHERE NOT found) AS n_failed, count(*) FILTER (WHERE found) / CAST(count(*) AS DOUBLE) AS hit_rate, count(*) / CAST(max(access_height) - min(access_height) + 1 AS DOUBLE) AS per_height FROM access GROUP BY 1", ACCESS)
+def operation_rates(spark, sf_dir):
+    return access.operation_rates(access_log(spark, sf_dir))

@@ -30,6 +30,9 @@ txo AS (
   FROM p)
 """
 
+#: The same for SQL that goes on with recursive tables.
+RECURSIVE = TXO.replace("WITH", "WITH RECURSIVE", 1)
+
 #: An access log made of the events table.
 ACCESS = """
 WITH access AS (

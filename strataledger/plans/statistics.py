@@ -148,3 +148,35 @@ _MARK = "CASE lim WHEN 1000000000000 THEN 'T' WHEN 1000000000 THEN 'B' WHEN 1000
 @register("si_format", f", l AS (SELECT value, {_LIMIT} AS lim FROM txo), s AS (SELECT *, {_SCALE} AS scale FROM l), d AS (SELECT *, (value * scale + lim // 2) // lim AS n FROM s) SELECT {_SHOWN} || {_MARK} AS text, count(*) AS n FROM d GROUP BY 1")
 def si_format(spark, sf_dir):
     return txo(spark, sf_dir).groupBy(scalars.si_format(F.col("value")).alias("text")).agg(F.count("*").alias("n"))
+
+
+_ENDS = "CAST(least(floor((value - lo) / (hi - lo) * 100), 99) AS INT)"
+_SIDED = f", s AS (SELECT {_SEG} AS segment, CASE WHEN event THEN 'spent' ELSE 'unspent' END AS side, CAST(value AS DOUBLE) AS value FROM txo WHERE NOT event OR duration > 0)"
+
+
+def _sided(spark, sf_dir):
+    rows = stats.by_segment(txo(spark, sf_dir)).where("NOT event OR duration > 0")
+    return rows.select("segment", F.when(F.col("event"), "spent").otherwise("unspent").alias("side"), "value")
+
+
+@register("segment_histograms", f"{_SIDED}, e AS (SELECT segment, side, min(value) AS lo, max(value) AS hi FROM s GROUP BY 1, 2) SELECT segment, side, CASE WHEN hi > lo THEN {_ENDS} ELSE 0 END AS bin, any_value(lo + (hi - lo) * CASE WHEN hi > lo THEN {_ENDS} ELSE 0 END / 100) AS low, count(*) AS n FROM s JOIN e USING (segment, side) GROUP BY 1, 2, 3")
+def segment_histograms(spark, sf_dir):
+    """Amounts in 100 bins of equal width for each segment and side."""
+    return stats.equal_width_histogram(_sided(spark, sf_dir), "value", 100, ["segment", "side"])
+
+
+@register("comparative_histograms", f"{_SIDED}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM s) SELECT side, {_ENDS} AS bin, any_value(lo + (hi - lo) * {_ENDS} / 100) AS low, count(*) AS n FROM s, e GROUP BY 1, 2")
+def comparative_histograms(spark, sf_dir):
+    """Amounts of spent and unspent outputs in the same 100 bins."""
+    return stats.equal_width_histogram(_sided(spark, sf_dir), "value", 100, ["side"], common=())
+
+
+@register("segment_medians", f", m AS (SELECT {_SEG} AS segment, CAST(median(value) FILTER (WHERE event) AS DOUBLE) AS median_value_spent, CAST(median(value) FILTER (WHERE NOT event) AS DOUBLE) AS median_value_unspent FROM txo GROUP BY 1) SELECT *, CASE WHEN median_value_spent <> 0 THEN median_value_unspent / median_value_spent END AS median_value_ratio FROM m")
+def segment_medians(spark, sf_dir):
+    return stats.segment_medians(txo(spark, sf_dir))
+
+
+@register("one_segment", f"SELECT {_SPENT} FROM txo WHERE event AND {_SEG} = 300000")
+def one_segment(spark, sf_dir):
+    """Statistics of one target segment."""
+    return stats.spent_stats(stats.by_segment(txo(spark, sf_dir)).where("segment = 300000"))

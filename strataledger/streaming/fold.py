@@ -1,43 +1,51 @@
 """A ledger folded over a stream of operations.
 
-State is versioned: a micro-batch appends its inserts and its deletes (as tombstones) under its own number, so a batch
-costs what it holds and not what the ledger holds; ``compact`` rewrites a ledger now and then. A batch that is run
-again overwrites its own folder, so a restart after a lost driver or executor changes nothing.
+Every operation carries the batch of the ledger that it belongs to, and operations count in the order of those
+batches, whatever micro-batch brings them: files may arrive late or out of order. State is versioned: a micro-batch
+appends its operations under its own number, so it costs what it holds and not what the ledger holds; ``compact``
+rewrites a ledger now and then. A micro-batch that is run again overwrites its own folder, so a restart after a lost
+driver or executor changes nothing.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataledger.operators import state
 from strataledger.schema import KEY
+from strataledger.session import shared_folder
 
 OPERATIONS = "batch int, op string, tx_id long, vout int, creation_block int, value long"
 
 
-def write_batch(batch: DataFrame, number: int, path: str) -> None:
-    """One micro-batch: netted, so what it creates and spends itself is never written."""
-    sides = batch.groupBy(*KEY).agg(
+def write_batch(rows: DataFrame, number: int, path: str) -> None:
+    """One micro-batch, with the ledger's batch of each operation.
+
+    What one ledger batch creates and spends itself is never written if the micro-batch holds both; other pairs are
+    netted when the ledger is read.
+    """
+    sides = rows.groupBy("batch", *KEY).agg(
         F.count_if(F.col("op") == "insert").alias("i"), F.count_if(F.col("op") == "delete").alias("d"), F.first("creation_block", ignorenulls=True).alias("creation_block"), F.first("value", ignorenulls=True).alias("value")
     )
-    left = sides.where("(i > 0) <> (d > 0)").select(*KEY, "creation_block", "value", (F.col("d") > 0).alias("deleted"))
-    left.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    left = sides.where("(i > 0) <> (d > 0)").select("batch", F.when(F.col("i") > 0, "insert").otherwise("delete").alias("op"), *KEY, "creation_block", "value")
+    left.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+
+def _ends(spark: SparkSession, path: str) -> DataFrame:
+    return state.folded(spark.read.schema(OPERATIONS).parquet(path).select("batch", "op", *KEY, "creation_block", "value"), ["creation_block", "value"])
 
 
 def ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, failed deletes): keys whose last operation is an insert; tombstones of keys never inserted."""
-    rows = spark.read.schema("tx_id long, vout int, creation_block int, value long, deleted boolean, batch int").parquet(path)
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct("creation_block", "value", "deleted"), "batch").alias("last"), F.count_if(~F.col("deleted")).alias("n"))
-    return last.where("NOT last.deleted").select(*KEY, "last.creation_block", "last.value"), last.where("n = 0").select(*KEY)
+    """(entries, failed deletes): what the batches leave, and the keys of deletes that found nothing."""
+    ends = _ends(spark, path)
+    return ends.where("held IS NOT NULL").select(*KEY, "held.creation_block", "held.value"), ends.where("n_failed > 0").select(*KEY)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
-    """The ledger rewritten as one batch in a new folder, without tombstones."""
-    entries, _ = ledger(spark, path)
-    entries.withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{to}/batch=0")
+    """The ledger rewritten as one part in a new folder, without deletes; entries keep the batch that inserted them."""
+    entries = _ends(spark, path).where("held IS NOT NULL").select("held.batch", F.lit("insert").alias("op"), *KEY, "held.creation_block", "held.value")
+    entries.write.mode("overwrite").parquet(f"{to}/part=0")
 
 
 def start(operations: DataFrame, path: str, checkpoint: str):
@@ -45,22 +53,10 @@ def start(operations: DataFrame, path: str, checkpoint: str):
     return operations.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def operations_of(txo: DataFrame, blocks: int = 100_000) -> DataFrame:
-    """Inserts and deletes of a history, by batches of blocks."""
-    made = txo.select(F.floor(F.col("creation_block") / blocks).cast("int").alias("batch"), F.lit("insert").alias("op"), *KEY, "creation_block", "value")
-    gone = txo.where("event").select(F.floor(F.col("spent_block") / blocks).cast("int").alias("batch"), F.lit("delete").alias("op"), *KEY, F.lit(None).cast("int").alias("creation_block"), F.lit(None).cast("long").alias("value"))
-    return made.unionAll(gone)
-
-
-def replay(spark: SparkSession, txo: DataFrame, blocks: int = 100_000) -> DataFrame:
-    """The ledger after streaming a history batch by batch, a file a micro-batch."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="stream-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    operations_of(txo, blocks).repartition("batch").write.partitionBy("batch").parquet(f"{base}/in")
-    stream = spark.readStream.schema(OPERATIONS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+def replay(spark: SparkSession, txo: DataFrame, blocks: int = 100_000, files: int = 4) -> DataFrame:
+    """The ledger after streaming a history, some files a micro-batch, in whatever order the files are listed."""
+    base = shared_folder(spark, "stream")
+    state.operations_of(txo, blocks).hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{base}/in")
+    stream = spark.readStream.schema(OPERATIONS).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     start(stream, f"{base}/ledger", f"{base}/progress").awaitTermination()
     return ledger(spark, f"{base}/ledger")[0]

@@ -14,5 +14,5 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 
 
 def test_all_features_are_correlated(spark):
-    found = [r["feature"] for r in queries.queries()["feature_correlations17"](spark, SF).collect()]
+    found = [r["feature"] for r in queries.queries()["feature_correlations"](spark, SF).collect()]
     assert sorted(found) == sorted(FEATURES) and len(found) == 17
