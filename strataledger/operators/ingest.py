@@ -50,6 +50,7 @@ def replay(store: Store, txo: DataFrame, blocks: int = 100_000, compact_every: i
     """A history (tx_id, vout, creation_block, spent_block, value, locking_script_size) folded into the store.
 
     Every batch is netted, deleted and inserted; a delete that fails ends the replay, as the history is then not sound.
+    A batch is held against the rows of its own keys, and its counts are those of what it wrote.
     """
     log = logger()
     rows = txo.select(*KEY, F.col("creation_block").alias("height"), "value", F.col("locking_script_size").alias("size"), "spent_block")
@@ -59,13 +60,12 @@ def replay(store: Store, txo: DataFrame, blocks: int = 100_000, compact_every: i
         low, high = number * blocks, (number + 1) * blocks
         made = rows.where((F.col("height") >= low) & (F.col("height") < high)).drop("spent_block")
         gone = rows.where((F.col("spent_block") >= low) & (F.col("spent_block") < high)).select(*KEY)
-        before = store.count()
-        done, failed = store.apply(made, gone)
+        added, done, failed = store.apply(made, gone)
         if (n := failed.count()) > 0:
             raise RuntimeError(f"batch {number}: {n} deletes of unknown keys")
         if (number + 1) % compact_every == 0:
             store.compact()
-        return store.count() - before + done, done
+        return added, done
 
     return run_batches(list(range(last // blocks + 1)), process, lambda b: log.info("batch %d: %d in, %d out, %.0f a second", b.batch, b.inserts, b.deletes, b.rate))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataledger.plans import learning, ledger, statistics  # noqa: F401  (they register themselves)
+from strataledger.plans import learning, ledger, statistics, storage  # noqa: F401  (they register themselves)
 from strataledger.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -34,9 +34,17 @@ def file_number(path: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text): the lines of text files with their place; files are read by offset, so a file is one task's only while it is small."""
-    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
-    return lines.withColumn("line", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("int")).select("file", "line", "text")
+    """(file, line, text): the lines of text files with their place.
+
+    A large file is read in blocks by many tasks. Lines are counted by block first; a line's place is its place in its
+    block plus the lines of the blocks before, so only a row a block is put in order.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("line"), "text")
 
 
 def hex_bytes(text: Column) -> Column:
@@ -45,9 +53,8 @@ def hex_bytes(text: Column) -> Column:
     return F.when(good | text.isNull(), F.unhex(text)).otherwise(F.raise_error(F.lit("not a hex text of even length")))
 
 
-def read_raw_blocks(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
-    """(height, raw): one hex line a block, FILE_STEP blocks a file named by its first height; skip and take by height."""
-    lines = read_lines(spark, path)
+def blocks_of(lines: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
+    """(height, raw) of hex lines (file, line, text), one a block; the file's name holds its first height. Skip and take by height."""
     start = F.regexp_extract("file", r"(\d+)-\d+[^/]*$", 1).cast("int")
     blocks = lines.select((start + F.col("line")).alias("height"), F.trim("text").alias("text")).where(F.col("height") >= first)
     if count is not None:
@@ -55,6 +62,11 @@ def read_raw_blocks(spark: SparkSession, path: str, first: int = 0, count: int |
     return blocks.select("height", hex_bytes(F.col("text")).alias("raw"))
 
 
+def read_raw_blocks(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
+    """(height, raw): one hex line a block, FILE_STEP blocks a file named by its first height."""
+    return blocks_of(read_lines(spark, path), first, count)
+
+
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
     n = raw[at]
     if n < 0xFD:
@@ -141,7 +153,7 @@ def batches_of(blocks: DataFrame, size: int, height: str = "height", n_tx: str =
                     batch, held = batch + 1, 0
             yield pd.DataFrame({"cut_height": frame["cut_height"], "batch": out})
 
-    listed = blocks.select(F.col(height).cast("long").alias("cut_height"), F.col(n_tx).cast("long").alias("n")).coalesce(1).sortWithinPartitions("cut_height")
+    listed = blocks.select(F.col(height).cast("long").alias("cut_height"), F.col(n_tx).cast("long").alias("n")).repartition(1).sortWithinPartitions("cut_height")  # an exchange of its own, so that what made the list is not one task's
     return blocks.join(listed.mapInPandas(cut, "cut_height long, batch int"), F.col(height) == F.col("cut_height")).drop("cut_height")
 
 
@@ -164,9 +176,8 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str) -> int:
     """History CSV normalised and written as Parquet by epoch; returns the rows written, checked against those read."""
     from strataledger.operators.history import normalise
 
-    history = normalise(read_history(spark, source))
-    history.write.mode("overwrite").partitionBy("epoch").parquet(target)
-    written = spark.read.parquet(target).count()
-    if written != (read := history.count()):
+    normalise(read_history(spark, source)).write.mode("overwrite").partitionBy("epoch").parquet(target)
+    written = spark.read.parquet(target).count()  # from the files' footers
+    if written != (read := read_history(spark, source, ["creation_block"]).count()):
         raise OSError(f"{written} of {read} rows were written")
     return written

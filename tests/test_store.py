@@ -75,6 +75,31 @@ def test_compaction_reopening_and_copying(spark, tmp_path):
     assert Store(spark, str(tmp_path / "db"), remove_existing=True).count() == 0
 
 
+def test_rotation_skipping_and_counters(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"), rows_per_file=100)
+    rows = spark.range(1000).selectExpr("id AS tx_id", "0 AS vout", "1 AS height", "id AS value", "CAST(id % 200 AS INT) AS size")
+    assert store.insert(rows.coalesce(1)) == 1000
+    files = store.files().collect()
+    assert len(files) == 10 and all(r["n"] == 100 and r["max_key"] - r["min_key"] == 99 for r in files)
+    wanted = keys(spark, 250, 251, 5000)
+    plan = store.entries_of(keys(spark, 250, 251))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(tx_id,250)" in plan and "LessThanOrEqual(tx_id,251)" in plan  # what files are skipped by
+    store.find(wanted)
+    found, missing = store.drain_lookups()
+    assert sorted(r["value"] for r in found.collect()) == [250, 251] and [r["tx_id"] for r in missing.collect()] == [5000]
+    store.erase(wanted)
+    store.erase(keys(spark, 250))
+    assert store.drain()[0] == 2
+    assert store.counters == {"inserts": 1000, "deletes": 2, "failed_deletes": 1, "deferred_deletes": 3, "longest_queue_deletes": 3, "deferred_lookups": 3, "longest_queue_lookups": 3}
+    store.compact()
+    assert store.count() == 998 and store.entries_of(keys(spark, 7777)).count() == 0 and store.entries_of(keys(spark)).count() == 0
+
+
+def test_a_long_table_tells_what_it_leaves_out(spark, monkeypatch):
+    monkeypatch.setattr(report, "MOST", 3)
+    assert report.section("t", spark.range(10), "id").endswith("... and 7 more rows\n") and "more" not in report.section("t", spark.range(3), "id")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_report(spark, tmp_path):
     from strataledger.sources.txo import txo
