@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,14 +23,20 @@ from strataledger.functions.scalars import confidence, log_duration, storage_dec
 from strataledger.operators.features import FEATURES, regression_metrics
 
 
+# The published settings of boosted trees and forests, and the published ratio of the classes.
+BOOSTED_SETTING = {"rounds": 100, "depth": 6, "rate": 0.1}
+FOREST_SETTING = {"rounds": 100, "depth": 10, "least_rows": 50}
+CLASS_RATIO = 319_023_419 / 665_471_470
+
+
 def _assembled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
 
 
-def train_classifier(rows: DataFrame, rounds: int = 20, depth: int = 5, rate: float = 0.1, positive_weight: float | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """(model, held-out rows with p): boosted trees on the 17 features of the rows with part 'train'.
+def train_classifier(rows: DataFrame, rounds: int = 20, depth: int = 5, rate: float = 0.1, positive_weight: float | None = None, seed: int = 42, kind: str = "boosted", least_rows: int = 1) -> tuple[PipelineModel, DataFrame]:
+    """(model, held-out rows with p): trees on the 17 features of the rows with part 'train'; kind is boosted or forest, rounds their number.
 
-    positive_weight weighs hot rows; by default the ratio of cold to hot ones.
+    positive_weight weighs hot rows (CLASS_RATIO is the published one); by default the ratio of cold to hot ones.
     """
     rows = _assembled(rows)
     train = rows.where("part = 'train'")
@@ -38,10 +44,9 @@ def train_classifier(rows: DataFrame, rounds: int = 20, depth: int = 5, rate: fl
         hot, all_ = train.agg(F.sum("target"), F.count("*")).first()
         positive_weight = (all_ - hot) / hot if hot else 1.0
     train = train.withColumn("weight", F.when(F.col("target") == 1, F.lit(float(positive_weight))).otherwise(1.0))
-    stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        GBTClassifier(featuresCol="scaled", labelCol="target", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed),
-    ]
+    common = {"featuresCol": "scaled", "labelCol": "target", "weightCol": "weight", "maxDepth": depth, "minInstancesPerNode": least_rows, "seed": seed}
+    last = {"boosted": lambda: GBTClassifier(maxIter=rounds, stepSize=rate, **common), "forest": lambda: RandomForestClassifier(numTrees=rounds, **common)}[kind]()
+    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), last]
     fitted = Pipeline(stages=stages).fit(train)
     return fitted, score(fitted, rows.where("part = 'test'"))
 
@@ -189,6 +194,72 @@ def trees_as_header(fitted: PipelineModel, name: str = "hot_cold") -> str:
     )
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _message(*fields: tuple[int, object]) -> bytes:
+    """A protocol buffer message: whole numbers as varints, floats as 32 bits, texts and bytes by length; lists repeat their field."""
+    out = b""
+    for number, value in fields:
+        for x in value if isinstance(value, list) else [value]:
+            if isinstance(x, float):
+                out += _varint(number << 3 | 5) + struct.pack("<f", x)
+            elif isinstance(x, int):
+                out += _varint(number << 3) + _varint(x)
+            else:
+                raw = x.encode() if isinstance(x, str) else x
+                out += _varint(number << 3 | 2) + _varint(len(raw)) + raw
+    return out
+
+
+def _attribute(name: str, value) -> bytes:
+    """An attribute of an ONNX node; its field and kind follow from the value."""
+    many = isinstance(value, list)
+    kind = type(value[0] if many else value)
+    number, code = {(int, False): (3, 2), (str, False): (4, 3), (float, True): (7, 6), (int, True): (8, 7), (str, True): (9, 8)}[kind, many]
+    return _message((1, name), (number, value), (20, code))
+
+
+def trees_as_onnx(fitted: PipelineModel) -> bytes:
+    """Boosted trees as an ONNX model: raw features (n, 17) to the margin and to the (cold, hot) probabilities.
+
+    Thresholds are carried back to the raw features, so the model needs no scaler. It calculates in 32 bits: a feature
+    that differs from a threshold by less than these show may go the other way.
+    """
+    out = json.loads(trees_as_json(fitted))
+    n = len(out["features"])
+    mean, std = out["mean"] or [0.0] * n, out["std"] or [1.0] * n
+    nodes: dict[str, list] = {k: [] for k in ("treeids", "nodeids", "featureids", "modes", "values", "truenodeids", "falsenodeids")}
+    target: dict[str, list] = {k: [] for k in ("treeids", "nodeids", "ids", "weights")}
+    for t, (weight, tree) in enumerate(zip(out["weights"], out["trees"], strict=True)):
+        for k, (feature, value, right) in enumerate(_flat(tree)):
+            leaf = feature < 0
+            cut = 0.0 if leaf else value * std[feature] + mean[feature]
+            for name, x in zip(nodes, (t, k, max(feature, 0), "LEAF" if leaf else "BRANCH_LEQ", float(cut), 0 if leaf else k + 1, 0 if leaf else right), strict=True):
+                nodes[name].append(x)
+            if leaf:
+                for name, x in zip(target, (t, k, 0, float(weight * value)), strict=True):
+                    target[name].append(x)
+    settings = [("n_targets", 1), ("aggregate_function", "SUM"), ("post_transform", "NONE"), *((f"nodes_{k}", v) for k, v in nodes.items()), *((f"target_{k}", v) for k, v in target.items())]
+    node = lambda op, ins, outs, attributes=(), domain="": _message((1, list(ins)), (2, list(outs)), (4, op), (5, [_attribute(*a) for a in attributes]), (7, domain))
+    number = lambda name, x: _message((1, 1), (2, 1), (8, name), (9, struct.pack("<f", x)))
+    shaped = lambda name, width: _message((1, name), (2, _message((1, _message((1, 1), (2, _message((1, [_message((2, "n")), _message((1, width))]))))))))
+    graph = _message(
+        (1, [
+            node("TreeEnsembleRegressor", ["features"], ["margin"], settings, "ai.onnx.ml"), node("Mul", ["margin", "two"], ["double_margin"]), node("Sigmoid", ["double_margin"], ["hot"]),
+            node("Sub", ["one", "hot"], ["cold"]), node("Concat", ["cold", "hot"], ["probabilities"], [("axis", 1)]),
+        ]),
+        (2, "hot_cold"), (5, [number("one", 1.0), number("two", 2.0)]), (11, shaped("features", n)), (12, [shaped("margin", 1), shaped("probabilities", 2)]),
+    )
+    return _message((1, 8), (2, "strataledger"), (7, graph), (8, [_message((1, ""), (2, 13)), _message((1, "ai.onnx.ml"), (2, 3))]))
+
+
 def onnx_inputs(path: str) -> list[tuple[str, list]]:
     """Names and shapes of an ONNX model's inputs."""
     import onnxruntime

@@ -233,6 +233,12 @@ def _models():
         rows = features.split(_features(spark, sf_dir, leak_free=True), "target", 0.2, "tx_id", "vout")
         return model.evaluate_classifier(*model.train_classifier(rows))
 
+    @register("forest_hotcold", None)
+    def forest_hotcold(spark, sf_dir):
+        """Held-out metrics of a forest for spending within the horizon, with the published ratio as the weight of the hot class."""
+        rows = features.split(_features(spark, sf_dir, leak_free=True), "target", 0.2, "tx_id", "vout")
+        return model.evaluate_classifier(*model.train_classifier(rows, positive_weight=model.CLASS_RATIO, kind="forest", **model.FOREST_SETTING | {"rounds": 20}))
+
     @register("rf_lifetime", None)
     def rf_lifetime(spark, sf_dir):
         """Held-out error of a forest for the logarithm of the duration."""

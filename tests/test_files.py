@@ -93,3 +93,25 @@ def test_other_files(spark, tmp_path):
     for n, text in ((9, "1,2,3"), (12, "1,Unspent,3"), (40, "2,Unspent,3")):
         (d / f"history-{n}.csv").write_text(text + "\n")
     assert files.first_file_with(files.read_lines(spark, str(d))).first()[0] == 12
+
+
+def test_lines_of_a_file_read_in_blocks_keep_their_places(spark, tmp_path):
+    for start, n in ((0, 400), (10_000, 70)):
+        (tmp_path / f"block-raw-{start}-{start + 9_999}.csv").write_text("".join(f"{(start + k) * 31:08x}\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")  # some fifty lines a block
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = {r["height"]: r["raw"] for r in files.read_raw_blocks(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {h: int(raw.hex(), 16) for h, raw in got.items()} == {h: h * 31 for h in (*range(400), *range(10_000, 10_070))}
+
+
+def test_logger_writes_a_line(tmp_path):
+    from strataledger.log import logger
+
+    logger("strataledger.test", str(tmp_path / "log")).info("batch %d", 7)
+    assert (tmp_path / "log").read_text().rstrip().endswith("batch 7")

@@ -87,3 +87,29 @@ def test_capped_sample(spark):
     got = sorted(r["k"] for r in features.capped_sample(df, 20, "k").collect())
     assert len(got) == 20 and got == sorted(r["k"] for r in features.capped_sample(df.repartition(7), 20, "k").collect())
     assert sorted(r["k"] for r in features.shuffled(df).collect()) == list(range(500))
+
+
+def test_onnx_export_scores_alike(spark, trained, tmp_path):
+    fitted, scored = trained
+    path = tmp_path / "model.onnx"
+    path.write_bytes(model.trees_as_onnx(fitted))
+    assert model.onnx_inputs(str(path)) == [("features", ["n", 17])]
+    rows = scored.withColumns({"own": F.col("p"), "op_return": F.lit(1)}).select(*features.FEATURES, "own")
+    got = model.score_onnx(rows, str(path)).select("own", "p").collect()
+    assert len(got) > 100 and sum(abs(r["own"] - r["p"]) < 1e-4 for r in got) >= 0.99 * len(got)
+
+
+def test_forests_and_published_settings(spark):
+    rows = features.split(features.features(features.clean(txo(spark, SF)), leak_free=True), "target", 0.2, "tx_id", "vout").limit(1500)
+    fitted, scored = model.train_classifier(rows, positive_weight=model.CLASS_RATIO, kind="forest", **model.FOREST_SETTING | {"rounds": 5})
+    last = fitted.stages[-1]
+    assert last.getNumTrees == 5 and last.getOrDefault("maxDepth") == 10 and last.getOrDefault("minInstancesPerNode") == 50
+    assert scored.where("p < 0 OR p > 1 OR p IS NULL").count() == 0 and 0.479 < model.CLASS_RATIO < 0.48
+    assert model.BOOSTED_SETTING == {"rounds": 100, "depth": 6, "rate": 0.1}
+
+
+def test_the_best_of_cross_validated_models(spark):
+    rows = features.features(features.clean(txo(spark, SF)), leak_free=True).limit(600)
+    best, scores = model.cross_validated(rows, folds=2)
+    assert len(scores) == 2 and all(0 <= x <= 1 for x in scores)
+    assert best.stages[-1].getOrDefault("maxDepth") == (3, 5)[scores.index(max(scores))]
