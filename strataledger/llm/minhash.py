@@ -9,6 +9,10 @@
 4. Second pass: postings whose classes are joined already are skipped. In the others, every pair from different
    components is counted and confirmed inside a task, by blocks, and only links that join components leave it. A
    group of n near copies so costs no n * n rows, and no link between components is lost.
+5. A posting that is still large then holds texts which share a long passage and little else. Dealt out by blocks it
+   would cost the square of its size, so its texts are posted anew under their own rarest shingles: two sets at the
+   limit share one among the rarest quarter of each, in any order that is the same for both. What all share is never
+   among these, so nothing is left out and the postings are short.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.llm.common import BROADCAST_ROWS, LOWER, UPPER, cut, looked_up, ship
@@ -30,6 +34,10 @@ SHINGLE, SIMILARITY = 5, 75
 K, MATCHES = 24, 10
 #: Classes of a posting that are compared in one task; larger postings are dealt out as pairs of blocks.
 BLOCK = 512
+#: Classes of a posting beyond which its texts are posted anew by their rarest shingles.
+LARGE = 4096
+#: Candidates of a hub that are confirmed in one task.
+STAR = 128
 #: Rows that are handed to Python together, without and with texts, and row pairs looked at at once.
 GROUP_ROWS, TEXT_ROWS, PAIRS_AT_ONCE = 2000, 500, 100_000
 
@@ -89,17 +97,6 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["doc_id", "key"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "digest", "sig"])], axis=1)
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch = batch.sort_values(["src", "dst"])
-        last, found, keep = None, None, []
-        for src, left, right in zip(batch["src"], batch["left_text"], batch["right_text"], strict=True):
-            if src != last:
-                last, found = src, shingles(left)
-            keep.append(linked(found, shingles(right)))
-        yield batch.loc[keep, ["src", "dst"]]
-
-
 def _runs(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     """The rows ordered by block pair, and where each block pair begins and the last one ends."""
     group = group.sort_values(["token", "pair"], kind="stable", ignore_index=True)
@@ -136,6 +133,41 @@ def _promising(group: pd.DataFrame) -> pd.DataFrame:
     return group.loc[keep, ["token", "pair", "block", "comp", "rep"]]
 
 
+def _starring(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of each part of a hub with the hub, confirmed on the full sets; the hub's text comes once a part."""
+    group, edges = _runs(group)
+    hub, rep, text = (group[c].to_numpy() for c in ("token", "rep", "text"))
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        centre = next((k for k in range(lo, hi) if rep[k] == hub[k]), None)
+        if centre is None:
+            continue
+        found = shingles(text[centre])
+        out += [(hub[k], rep[k]) for k in range(lo, hi) if k != centre and linked(found, shingles(text[k]))]
+    return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"rep": batch["rep"], "found": [shingles(t).view(np.int64) for t in batch["text"]]})
+
+
+def _agreeing(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of each block pair from different components that agree in enough coordinates, the smaller row first."""
+    group, edges = _runs(group)
+    sig = np.stack(group["sig"].to_numpy()).astype(np.int32)
+    rep, block, comp, n, whole = (group[c].to_numpy() for c in ("rep", "block", "comp", "n_shingles", "whole"))
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        a, b = (lo + x for x in np.triu_indices(hi - lo, 1))
+        wanted = (comp[a] != comp[b]) & (whole[a] | (block[a] != block[b])) & (SIMILARITY * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
+        a, b = a[wanted], b[wanted]
+        enough = np.concatenate([np.count_nonzero(sig[a[k : k + PAIRS_AT_ONCE]] == sig[b[k : k + PAIRS_AT_ONCE]], axis=1) >= MATCHES for k in range(0, len(a), PAIRS_AT_ONCE)] or [np.zeros(0, bool)])
+        a, b = rep[a[enough]], rep[b[enough]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["src", "dst"]).astype("int64").drop_duplicates()
+
+
 def _linked_rows(sets: list[np.ndarray]) -> np.ndarray:
     """Which sets of a block pair are linked, as a matrix; shared shingles are counted by slices of columns."""
     sizes = np.array([len(s) for s in sets])
@@ -186,6 +218,12 @@ def _joining(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The digest of a row's id and text; a null is none of the texts that stand for it."""
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(marked(doc_id.cast("string")), F.lit("\n"), marked(text)).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept, key, keeper.
 
@@ -200,8 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ship(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     # id and text together name a row to fetch its text again: texts are never kept beside the sketches
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-    named = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     sketch = cut(
         named.mapInPandas(_sketch, f"doc_id {id_type.simpleString()}, key binary, n_shingles long, digest binary, sig array<int>").withColumn("row", F.monotonically_increasing_id()),
         gather=True,
@@ -234,12 +271,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = cut(
         stars.join(signed.toDF("src", "left_sig", "left_n"), "src").join(signed.toDF("dst", "right_sig", "right_n"), "dst").where(close & (agree >= MATCHES)).select("src", "dst")
     )
-    ends = candidates.select(F.col("src").alias("rep")).unionAll(candidates.select(F.col("dst").alias("rep"))).distinct()
-    texts = cut(_texts(named, classes, ends, 2 * candidates.count()))
-    links = cut(
-        candidates.join(texts.toDF("src", "left_text"), "src").join(texts.toDF("dst", "right_text"), "dst").select("src", "dst", "left_text", "right_text").mapInPandas(_confirm, "src long, dst long"),
-        gather=True,
-    )
+    links = _confirmed(candidates, named, classes)
 
     first_pass = connected_components(links).toDF("rep", "comp")
 
@@ -251,24 +283,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .withColumn("comp", F.coalesce("comp", "rep"))
     )
     members = postings.join(of_class, "rep")
-    open_ = cut(members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = (
-        members.join(open_.drop("n"), "token")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-        .withColumn("whole", F.col("pair") % (F.col("blocks") + 1) == 0)
-    )
-    in_parts = lambda df, parts: df.withColumn("part", F.pmod(F.xxhash64("token", "pair"), F.lit(parts))).groupBy("part")
-    rows = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    open_ = cut(_open(members))
+    dealt = _dealt(members, open_.where(F.col("n") <= LARGE))
+    rows = open_.where(F.col("n") <= LARGE).agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     promising = cut(
-        in_parts(dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig"), -(-rows // GROUP_ROWS) or 1).applyInPandas(_promising, "token long, pair long, block int, comp long, rep long"),
+        _in_parts(dealt.select("token", "pair", "whole", "coordinate", "block", "rep", "comp", "n_shingles", "prefix", "sig"), -(-rows // GROUP_ROWS) or 1).applyInPandas(_promising, "token long, pair long, block int, comp long, rep long"),
         gather=True,
     )
     n_promising = promising.count()
     texts = _texts(named, classes, promising.select("rep").distinct(), n_promising)
     # from here on, links are between the first pass's components
-    more = in_parts(promising.join(texts, "rep"), -(-n_promising // TEXT_ROWS) or 1).applyInPandas(_joining, "src long, dst long")
+    more = _in_parts(promising.join(texts, "rep"), -(-n_promising // TEXT_ROWS) or 1).applyInPandas(_joining, "src long, dst long")
+    large = open_.where(F.col("n") > LARGE).select("token")
+    if not large.isEmpty():
+        in_large = cut(members.join(large, "token", "left_semi").select("rep", "comp", "n_shingles", "sig").distinct())
+        found = _confirmed(_by_rarest(in_large, named, classes), named, classes)
+        component = in_large.select(F.col("rep").alias("of"), "comp")
+        ends = found.join(component.toDF("src", "src_comp"), "src").join(component.toDF("dst", "dst_comp"), "dst")
+        more = more.unionAll(ends.select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst")))
     last = looked_up(connected_components(more).toDF("own", "last"))
 
     joined = classes.select("rep", "doc_id", "digest").join(first_pass, "rep", "left").withColumn("own", F.coalesce("comp", "rep"))
@@ -286,6 +318,66 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _in_parts(df: DataFrame, parts: int):
+    """Rows (token, pair, ...) grouped so that a task gets many whole block pairs of moderate size."""
+    return df.withColumn("part", F.pmod(F.xxhash64("token", "pair"), F.lit(parts))).groupBy("part")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(token, n, blocks) of the postings that hold several components. members: token, rep, comp."""
+    sizes = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    return sizes.where("lo < hi").select("token", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def _dealt(members: DataFrame, open_: DataFrame) -> DataFrame:
+    """members of open postings, a row for each pair of blocks that theirs belongs to; whole marks a block met by itself."""
+    return (
+        members.join(open_.select("token", "blocks"), "token")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+        .withColumn("whole", F.col("pair") % (F.col("blocks") + 1) == 0)
+    )
+
+
+def _confirmed(candidates: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidate pairs (src, dst) that are linked on their full sets, cut.
+
+    A src of very many candidates is dealt out in parts; its own text goes to each part once, not to each candidate.
+    """
+    ends = candidates.select(F.col("src").alias("rep")).unionAll(candidates.select(F.col("dst").alias("rep"))).distinct()
+    n = candidates.count()
+    texts = cut(_texts(named, classes, ends, 2 * n))
+    hubs = cut(candidates.groupBy("src").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
+    spokes = candidates.join(looked_up(hubs.withColumnRenamed("src", "hub")), F.col("src") == F.col("hub"))
+    spokes = spokes.select(F.col("src").alias("token"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("long").alias("pair"), F.col("dst").alias("rep"))
+    centres = hubs.select(F.col("src").alias("token"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("pair"), F.col("src").alias("rep"))
+    return cut(_in_parts(spokes.unionAll(centres).join(texts, "rep"), -(-2 * n // TEXT_ROWS) or 1).applyInPandas(_starring, "src long, dst long"), gather=True)
+
+
+def _by_rarest(members: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs among members (rep, comp, n_shingles, sig), cut: those that share one of their rarest shingles.
+
+    Sets of a and b shingles at the limit share at least 75 % of the larger, so each one's first n - ceil(0.75 n) + 1
+    in a common order (rarest among the members first) hold a shingle of the other's. Shingles of a single member come
+    first and are not posted.
+    """
+    texts = _texts(named, classes, members.select("rep"), members.count())
+    sets = cut(texts.mapInPandas(_sets, "rep long, found array<long>"))
+    each = sets.select("rep", F.explode("found").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    size = F.col("n_shingles")
+    first = (size - F.ceil(size * SIMILARITY / F.lit(100.0)) + 1).cast("int")
+    shared = each.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("found")).join(members, "rep")
+    free = first - (size - F.size("found"))
+    posted = shared.where(free > 0).select("rep", "comp", "n_shingles", "sig", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("p")).select("rep", "comp", "n_shingles", "sig", F.col("p.token").alias("token"))
+    posted = cut(posted)
+    open_ = cut(_open(posted))
+    rows = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    dealt = _dealt(posted, open_).select("token", "pair", "whole", "block", "rep", "comp", "n_shingles", "sig")
+    return cut(_in_parts(dealt, -(-rows // GROUP_ROWS) or 1).applyInPandas(_agreeing, "src long, dst long").distinct())
+
+
 def _texts(named: DataFrame, classes: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     """(rep, text) of the given classes, at most `most`; the documents are read again and joined by the digest of id and text."""
     wanted = classes.join(reps, "rep").select("rep", F.col("key").alias("wanted"))
@@ -295,12 +387,16 @@ def _texts(named: DataFrame, classes: DataFrame, reps: DataFrame, most: int) ->
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near duplicates, columns unchanged; rows without words all stay.
+    """docs with one row of each component of near duplicates, columns unchanged; rows without words all stay, repeated ones too.
 
-    Of rows that agree in id and text, one is left.
+    Of rows that agree in id and text, one is left: the one whose JSON form comes first, whatever the partitioning.
+    Rows that nothing speaks against stay where they are; only keys of rows that go, or that are repeated, are looked
+    up, by broadcast up to a counted number and by a shuffle beyond. Null ids, null and empty texts are told apart;
+    empty tables give no rows; other columns stay inside a struct on the way and cannot clash.
     """
-    keep = near_duplicates(docs).where("keeper").select(F.col("key").alias("kept_key")).distinct()
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
-    packed = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    one = packed.join(keep, F.col("key") == F.col("kept_key"), "left_semi").groupBy("key").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    of_key = near_duplicates(docs).where("n_shingles > 0").groupBy("key").agg(F.max("keeper").alias("kept"), F.count("*").alias("n"))
+    special = looked_up(of_key.where("NOT kept OR n > 1").select(F.col("key").alias("special_key"), F.col("kept").alias("special_kept")))
+    packed = docs.select(F.struct("*").alias("row")).select("row", row_key(F.col("row.doc_id"), F.col("row.text")).alias("key"))
+    met = packed.join(special, F.col("key") == F.col("special_key"), "left")
+    one = met.where("special_kept").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return met.where("special_key IS NULL").select("row.*").unionAll(one.select("row.*"))
