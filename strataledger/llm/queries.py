@@ -61,11 +61,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = token_counts.fresh_cache(spark)
-    try:
-        return token_counts.token_counts(table(spark, sf_dir, "documents"), cache)
-    finally:
-        token_counts.drop_cache(spark, cache)  # the counts that the result needs are cut
+    cache = token_counts.cache_of(spark, f"{sf_dir}/documents")  # what an earlier run on this table has counted is not encoded again
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), cache)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +75,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10 with a crawler's redirects: the tables hold none, so every page whose id 3 divides stands for one to the page of 7/10 its id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    source = pages.where("page_id % 3 = 0").select(F.col("url").alias("src_url"), F.expr("page_id * 7 div 10").alias("to"))
+    edges = source.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst_url")), "to").select("src_url", "dst_url")
+    judged = url_filter.judge_urls(pages, URL_RULES, edges)
+    return judged.select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_sentencepiece, op4_quality, op5_embedding_dedup, op6_minhash, op7_quality_rules, op8_token_counts, op9_line_dedup, op10_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_sentencepiece, op4_quality, op5_embedding_dedup, op6_minhash, op7_quality_rules, op8_token_counts, op9_line_dedup, op10_url_filter, url_redirects, pipeline)}
 
 
 #: white space of the line rule in DuckDB's regular expressions
@@ -129,7 +135,8 @@ SELECT t.doc_id, made.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped,
 
 _RULES_SQL = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
 
-OP10_SQL = rf"""
+def _url_sql(more: str = "") -> str:
+    return rf"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES {_RULES_SQL}),
 page AS (SELECT row_number() OVER () AS row_id, page_id, url, coalesce(html, '') AS html FROM pages),
 links AS (SELECT url AS base, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM page WHERE url IS NOT NULL
@@ -137,7 +144,7 @@ links AS (SELECT url AS base, regexp_extract(unnest(regexp_extract_all(html, '(?
 clean AS (SELECT base, replace(trim(link), '&amp;', '&') AS link FROM links),
 absolute AS (SELECT base, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN regexp_extract(base, '(?s)^(.*?)://', 1) || ':' || link
   WHEN link LIKE '/%' THEN regexp_extract(base, '(?s)^(.*?://[^/?#]*)', 1) || link
-  WHEN link <> '' THEN rtrim(regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#/]*/)*)?)', 1), '/') || '/' || link END AS target FROM clean),
+  WHEN link <> '' THEN rtrim(regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#/]*/)*)?)', 1), '/') || '/' || link END AS target FROM clean{more}),
 ends AS (SELECT base AS s, target AS d FROM absolute WHERE target LIKE '%://%' AND base LIKE '%://%'),
 parts(url, node) AS (SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1)
   FROM (SELECT s AS u FROM ends UNION SELECT d FROM ends UNION SELECT url FROM page WHERE url LIKE '%://%')),
@@ -156,5 +163,8 @@ FROM split LEFT JOIN own USING (row_id) LEFT JOIN parts ON parts.url = split.url
 """
 
 
+_REDIRECTS = " UNION ALL SELECT a.url, b.url FROM pages a JOIN pages b ON a.page_id % 3 = 0 AND b.page_id = a.page_id * 7 // 10"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op7_quality_rules": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": _url_sql(), "url_redirects": _url_sql(_REDIRECTS)}
