@@ -96,12 +96,56 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_large_postings_go_by_their_rarest_shingles(spark, monkeypatch):
+    """Texts that share a passage of over half their words, some of them near each other besides, in chains that no hub sees."""
+    rng = random.Random(15)
+    passage = [f"p{k}" for k in range(110)]
+    rows = []
+    for k in range(70):
+        own = [f"o{k}x{j}" for j in range(60)]
+        rows.append((3 * k + 1, " ".join(passage + own), "s"))
+        if k % 3 == 0:  # a chain: each near the one before, not to the first
+            for step in range(1, 4):
+                own = [f"c{k}s{step}x{j}" if j // 9 == step else w for j, w in enumerate(own)]
+                rows.append((1000 + 10 * k + step, " ".join(passage + own), "s"))
+    rng.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    want = reach(sets, [(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert 70 <= len(set(want.values())) < len(rows)
+    seen = []
+    whole = minhash._by_rarest
+    monkeypatch.setattr(minhash, "_by_rarest", lambda *a: seen.append(1) or whole(*a))
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want and seen
+
+
+def test_a_hub_in_many_parts(spark, monkeypatch):
+    """Copies of one long text are confirmed part by part, with the same result."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        copy[rng.randrange(400)] = f"x{k}"
+        rows.append((k + 1, " ".join(copy), "s"))
+    rows += [(500 + k, " ".join(f"u{k}v{j}" for j in range(30)), "s") for k in range(5)]
+    monkeypatch.setattr(minhash, "STAR", 7)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: 1 if i <= 90 else i for i, _, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f", "s"), (4, "A B C d e f", "s"), (4, "a b c d e f", "s"), (9, None, None), (9, None, None), (None, "", "s"), (None, "p q r s t", "s"), (None, "p q r s t", "s")]
     found = minhash.near_duplicates(documents(spark, rows)).collect()
     by = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found)
     assert by == {(None, 2, 4, False): 1, (4, 2, 4, True): 2, (9, 0, 9, True): 2, (None, 0, None, True): 1, (None, 1, None, True): 2}
-    assert minhash.deduplicate(documents(spark, rows)).count() == 4
+    kept = documents(spark, [(None, "q r", "b"), *rows, (None, "q r", "a"), (None, "q r", "c")])
+    for parts in (1, 3):  # one of each group, every row without words; of rows alike in id and text the first as JSON
+        got = Counter((r["doc_id"], r["text"], r["source"]) for r in minhash.deduplicate(kept.repartition(parts)).collect())
+        assert got in [{(4, t, "s"): 1, (9, None, None): 2, (None, "", "s"): 1, (None, "p q r s t", "s"): 1, (None, "q r", "a"): 1} for t in ("A B C d e f", "a b c d e f")]
+    named = spark.createDataFrame([("-", "one two", "s"), (None, "one two", "s"), ("x", None, "s"), ("x", "", "s"), ("", "k l", "s"), (None, "-", "s")], "doc_id string, text string, source string")
+    assert Counter((r["doc_id"], r["text"]) for r in minhash.deduplicate(named).collect()) == {("-", "one two"): 1, ("x", None): 1, ("x", ""): 1, ("", "k l"): 1, (None, "-"): 1}
     assert minhash.near_duplicates(documents(spark, [])).count() == 0 and minhash.deduplicate(documents(spark, [])).count() == 0
 
 
@@ -156,10 +200,50 @@ def test_rotation_balances_bits():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((800, 64)) @ rng.standard_normal((64, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    projection = embedding_dedup.learn_rotation(x)
-    code = embedding_dedup.encode(x, projection)
-    ones = np.unpackbits(code[:, None].view(np.uint8), axis=1).mean(axis=0)
-    assert code.dtype == np.uint64 and abs(ones - 0.5).max() < 0.15
+    ones = (x @ embedding_dedup.learn_rotation(x) >= 0).mean(axis=0)
+    assert ones.shape == (64,) and abs(ones - 0.5).max() < 0.15
+
+
+def at_cosine(rng, x, cosine):
+    noise = rng.standard_normal(len(x))
+    noise -= (noise @ x) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise)
+
+
+@pytest.mark.parametrize("skewed", [False, True])
+def test_recall_by_bands_from_the_limit_up(spark, skewed):
+    """Pairs made at chosen cosines, the first band exactly at the limit: each is found, bar a few; with exact all are."""
+    rng = np.random.default_rng(8)
+    bands = (0.9500001, 0.952, 0.96, 0.98)
+    scale, shift = (1 / np.sqrt(np.arange(1, 49)), np.r_[1.0, np.zeros(47)]) if skewed else (np.ones(48), np.zeros(48))
+    data = []
+    for k in range(1200):
+        x = rng.standard_normal(48) * scale + shift
+        x /= np.linalg.norm(x)
+        data += [x, at_cosine(rng, x, bands[k % 4])]
+    units = np.array(data)
+    close = (units @ units.T >= 0.95) & ~np.eye(len(units), dtype=bool)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(data)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert all(found[k] <= close[k].sum() for k in found)
+    if not skewed:  # else vectors have other neighbours too
+        for band in range(4):
+            got = [found[2 * k] for k in range(1200) if k % 4 == band]
+            assert sum(got) >= 0.95 * len(got), (band, sum(got))
+    assert sum(found.values()) >= 0.95 * close.sum()
+    whole = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df, exact=True).collect()}
+    groups = reach(range(len(data)), list(zip(*map(list, np.nonzero(close)), strict=True)))
+    assert whole == {k: (close[k].sum(), groups[k]) for k in range(len(data))}
+
+
+def test_keys_widen_with_the_number_of_vectors():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    layouts = [embedding_dedup.choose_layout(x, n) for n in (10**3, 10**6, 10**9)]
+    widths = [2 * layout.width for layout in layouts]
+    assert widths == sorted(widths) and widths[0] < widths[-1]
+    assert all(layout.recall >= embedding_dedup.RECALL and len(layout.tables) <= embedding_dedup.TABLES for layout in layouts)
 
 
 # ---------------------------------------------------------------- mixing

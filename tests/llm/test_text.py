@@ -119,7 +119,7 @@ def test_counts_are_cached_by_digest(spark, tmp_path):
     stored = spark.read.parquet(cache)
     assert stored.count() == len({t or "" for t in texts})
     # what is stored is believed, and only new texts are encoded
-    spark.read.parquet(cache).withColumn("n_tokens", F.lit(77).cast("long")).write.parquet(str(tmp_path / "other"))
+    stored.withColumn("n_tokens", F.lit(77).cast("long")).write.partitionBy("version").parquet(str(tmp_path / "other"))
     more = docs.unionByName(documents(spark, [(50, "new text", "s")]))
     again = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(more, str(tmp_path / "other")).collect()}
     assert again.pop(50) == 2 and set(again.values()) == {77}
@@ -129,6 +129,18 @@ def test_counts_are_cached_by_digest(spark, tmp_path):
     assert token_counts.token_counts(documents(spark, []), str(tmp_path / "empty")).count() == 0
 
 
+def test_a_second_run_encodes_nothing(spark, tmp_path, monkeypatch):
+    docs, cache = documents(spark, [(k, f"text {k % 7}", "s") for k in range(30)]), str(tmp_path / "cache")
+    first = sorted(map(tuple, token_counts.token_counts(docs, cache).collect()))
+    files = sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
+    monkeypatch.setattr(token_counts, "count_tokens_of", None)  # a text that is encoded now is an error
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, *a, **b: taken.append(1))
+    assert sorted(map(tuple, token_counts.token_counts(docs, cache).collect())) == first
+    assert not taken and sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet")) == files
+    assert token_counts.cache_of(spark, "a") == token_counts.cache_of(spark, "a") != token_counts.cache_of(spark, "b")
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
