@@ -45,7 +45,8 @@ def capped_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
 
 
 def shuffled(df: DataFrame, *columns: str, seed: int = 42) -> DataFrame:
-    """The rows in a seeded order of their hashed columns, whatever the partitioning; equal hashes in the columns' order."""
+    """The rows in a seeded order of their hashed whole columns (all by default), whatever the partitioning; equal hashes in the columns' order."""
+    columns = columns or tuple(df.columns)
     return df.orderBy(F.pmod(hashed(*columns) * (2 * seed + 1) + seed, F.lit(1_000_003)), *columns)
 
 

@@ -156,18 +156,37 @@ def zone_candidates(wanted: DataFrame, zones: DataFrame, key: str = "tx_id") ->
     return covering(wanted, zones, key, "min_key", "max_key", "n_zones")
 
 
+#: Keys of a cell: a task ranks the rows of one cell of a group at a time.
+CELL = 100_000
+
+
+def placed(rows: DataFrame, group: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+    """rows with place: the rank from 0 by key within the group.
+
+    Rows are counted by cells of the first key (a whole number); a place is the rank in the cell plus the rows of the
+    cells before, so a large group is ranked by many tasks and only its cells are put in order.
+    """
+    cell = F.floor(F.col(keys[0]) / CELL)
+    counts = rows.groupBy(*group, cell.alias("cell")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(c).alias(f"of_{c}") for c in group), F.col("cell").alias("of_cell"), before.alias("start"))
+    ranked = rows.withColumn("cell", cell).withColumn("rank", F.row_number().over(Window.partitionBy(*group, "cell").orderBy(*keys)) - 1)
+    same = F.col("cell") == F.col("of_cell")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return ranked.join(starts, same).withColumn("place", F.col("start") + F.col("rank")).drop("cell", "rank", "start", "of_cell", *(f"of_{c}" for c in group))
+
+
 def compact(ledger: DataFrame, target_rows: int) -> DataFrame:
     """Entries with versions numbered anew by container, so that each but the last holds target_rows; rows are unchanged.
 
-    The place of an entry is the entries of smaller versions, known from counts, and its rank among its own version's,
-    so no container is ordered as a whole.
+    The place of an entry is the entries of smaller versions, known from counts, and its place among its own version's.
     """
     sizes = ledger.groupBy("container", "version").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("container").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("container").alias("c"), F.col("version").alias("v"), before.alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("container", "version").orderBy(*KEY)) - 1
-    placed = ledger.withColumn("rank", rank).join(F.broadcast(offsets), (F.col("container") == F.col("c")) & (F.col("version") == F.col("v")))
-    return placed.withColumn("version", F.floor((F.col("offset") + F.col("rank")) / target_rows).cast("int")).drop("rank", "offset", "c", "v")
+    offsets = sizes.select(F.col("container").alias("c"), F.col("version").alias("v"), before.alias("offset"))  # a row a file group
+    found = placed(ledger, ["container", "version"]).join(offsets, (F.col("container") == F.col("c")) & (F.col("version") == F.col("v")))
+    return found.withColumn("version", F.floor((F.col("offset") + F.col("place")) / target_rows).cast("int")).drop("place", "offset", "c", "v")
 
 
 def layout_report(ledger: DataFrame, capacity: int, size: str = "locking_script_size") -> DataFrame:
@@ -216,13 +235,12 @@ def memory_estimate(ledger: DataFrame, limits: Sequence[int], size: str = "locki
 def rotated(rows: DataFrame, limit: int, height: str = "creation_block", keys: Sequence[str] = KEY) -> DataFrame:
     """rows with version: a set that goes on to a new version after every limit inserts, in order of height and key.
 
-    Inserts are counted by height first, so one row a height is in one order, and rows are ranked within theirs.
+    Inserts are counted by height first, so one row a height is in one order, and rows are placed within theirs.
     """
     sizes = rows.groupBy(F.col(height).alias("at_")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(height).orderBy(*keys)) - 1
-    placed = rows.withColumn("rank_", rank).join(sizes.select("at_", before.alias("before_")), F.col(height) == F.col("at_"))
-    return placed.withColumn("version", F.floor((F.col("before_") + F.col("rank_")) / limit).cast("int")).drop("rank_", "at_", "before_")
+    found = placed(rows, [height], keys).join(sizes.select("at_", before.alias("before_")), F.col(height) == F.col("at_"))
+    return found.withColumn("version", F.floor((F.col("before_") + F.col("place")) / limit).cast("int")).drop("place", "at_", "before_")
 
 
 def cached_order(files: DataFrame) -> DataFrame:
