@@ -17,9 +17,19 @@ def n_words(text: Column) -> Column:
 
 
 def cyclic_weights(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """sizes (source, source_size: a row per source) with weight: the sources by code point, null last, get the weights in turn."""
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int")))
+    """sizes (source, source_size: a row per source) with weight: the sources by code point, null last, get the weights in turn.
+
+    Sources are sorted by ranges, and a source's place is its place in its range plus the sources of the ranges before:
+    one row a range meets in one task, never all sources.
+    """
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = F.col("source").asc_nulls_last()
+    dealt = cut(sizes.repartitionByRange(parts, in_order).withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("range").agg(F.count("*").alias("n")).select(F.col("range").alias("start_range"), before.alias("start"))
+    turn = F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(in_order)) - 1
+    placed = dealt.join(F.broadcast(starts), F.col("range") == F.col("start_range"))  # a row a range
+    return placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))).select(*sizes.columns, "weight")
 
 
 def water_fill(sources: DataFrame, total: int | None = None, max_epochs: float = 3.0) -> DataFrame:
@@ -48,21 +58,23 @@ def water_fill(sources: DataFrame, total: int | None = None, max_epochs: float =
     return rows.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def repetitions(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """docs (key, source, size, ...) with target and repeats: how often the mix takes each document, whole.
-
-    A source whose target is r times its size takes every document floor(r) times, and documents that make up the
-    fraction of its size once more (or, where that is over a half, all but those that make up the rest). These are drawn by bins: a document's bin is its size class (power of two) and a
-    seeded hash of its key. Per source the bins, which number at most 64 size classes times BINS whatever the source
-    holds, are gone through from large to small documents; each class adds its fraction to an allowance, and a bin
-    that the allowance covers is drawn. So large documents can't make a source miss its target by more than about the
-    smallest bins. All sums are of whole numbers and the hash is seeded: reruns agree.
-    """
-    docs = docs.withColumns({
+def _classed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs (key, size, ...) with the size class (power of two) and the seeded bin that a draw takes or leaves as a whole."""
+    return docs.withColumns({
         "class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size") + 0.5)).cast("int")).otherwise(-1),
         "bin": F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(BINS)).cast("int"),
     })
-    bins = docs.where("size > 0").groupBy("source", "class", "bin").agg(F.sum("size").alias("bin_size"))
+
+
+def chosen_bins(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """(chosen_source, chosen_class, chosen_bin) that make up the fraction of each source's target. docs: key, source, size.
+
+    Per source the bins, which number at most 64 size classes times BINS whatever the source holds, are gone through
+    from large to small documents; each class adds its fraction to an allowance, and a bin that the allowance covers
+    is drawn. So large documents can't make a source miss its target by more than about the smallest bins. All sums
+    are of whole numbers and the hash is seeded: reruns agree.
+    """
+    bins = _classed(docs, seed).where("size > 0").groupBy("source", "class", "bin").agg(F.sum("size").alias("bin_size"))
     rate = F.col("target") / F.col("source_size")
     per_source = (
         bins.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
@@ -86,21 +98,40 @@ def repetitions(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame
             ).otherwise(s),
         )
 
-    chosen = (
+    return (
         per_source.withColumn("taken", F.aggregate(of_class, start, by_class)["taken"])
         .select("source", F.explode("taken").alias("t"))
         .select(F.col("source").alias("chosen_source"), (-F.col("t.c")).alias("chosen_class"), F.col("t.b").alias("chosen_bin"))
     )
+
+
+def repetitions(docs: DataFrame, targets: DataFrame, chosen: DataFrame, seed: int = 0) -> DataFrame:
+    """docs (key, source, size, ...) with target, source_size and repeats: how often the mix takes each document, whole.
+
+    A source whose target is r times its size takes every document floor(r) times, and the documents of the chosen
+    bins once more (or, where the fraction is over a half, all but those). What a row gets is a function of its own
+    key, source and size and of two small tables (a row a source, and a row a chosen bin), so rows stay where they
+    are: both tables are broadcast up to a counted number of rows, and joined by a shuffle beyond.
+    """
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     whole = targets.select(F.col("source").alias("target_source"), "source_size", "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate) > 0.5).alias("inverse"))
     return (
-        docs.join(small(whole), F.col("source").eqNullSafe(F.col("target_source")), "left")
-        .join(chosen, F.col("source").eqNullSafe(F.col("chosen_source")) & (F.col("class") == F.col("chosen_class")) & (F.col("bin") == F.col("chosen_bin")), "left")
+        _classed(docs, seed)
+        .join(small(whole), F.col("source").eqNullSafe(F.col("target_source")), "left")
+        .join(small(chosen), F.col("source").eqNullSafe(F.col("chosen_source")) & (F.col("class") == F.col("chosen_class")) & (F.col("bin") == F.col("chosen_bin")), "left")
         .withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + (F.col("chosen_bin").isNotNull() != F.col("inverse")).cast("int")).otherwise(0))
         .drop("class", "bin", "whole", "inverse", "target_source", "chosen_source", "chosen_class", "chosen_bin")
     )
 
 
+def _planned(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sized documents, targets by source, chosen bins), each cut."""
+    sized = cut(docs.select(F.col(doc_id).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), gather=True)
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = cut(water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs).select("source", "source_size", "target"))
+    return sized, targets, cut(chosen_bins(sized, targets, seed))
+
+
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row per document: doc_id, source, size (words), source_size, target, repeats.
 
@@ -108,18 +139,17 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
     are documents of their own that share a bin; null ids likewise. Empty tables give no rows. Other columns of docs
     are not looked at, whatever their names.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), gather=True)
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs).select("source", "source_size", "target"))
-    return repetitions(sized, targets, seed).withColumnRenamed("key", "doc_id")
+    sized, targets, chosen = _planned(docs, weights, max_epochs, seed, doc_id, text, source)
+    return repetitions(sized, targets, chosen, seed).withColumnRenamed("key", "doc_id")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = 0) -> DataFrame:
     """docs as the mix takes them: every row as often as plan_mix repeats it, columns unchanged.
 
-    The plan is a function of a row's id, source and size, so rows that agree in all three share it.
+    Texts are read a second time and stay where they are; only sizes are gathered. Nulls, empty texts, repeated rows
+    and empty tables are as in plan_mix; other columns stay inside a struct on the way and cannot clash.
     """
-    plan = plan_mix(docs, weights, max_epochs, seed).select("doc_id", "source", "size", "repeats").distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_"), F.col("source").alias("source_"), n_words(F.col("text")).alias("size_"))
-    same = F.col("id_").eqNullSafe(F.col("doc_id")) & F.col("source_").eqNullSafe(F.col("source")) & (F.col("size_") == F.col("size"))
-    return packed.join(plan.where("repeats > 0"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
+    _, targets, chosen = _planned(docs, weights, max_epochs, seed)
+    packed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("key"), F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"))
+    taken = repetitions(packed, targets, chosen, seed).where("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
