@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataledger.llm.common import cut, normalised_line, small
+from strataledger.llm.common import BROADCAST_ROWS, cut, normalised_line
 
 #: Below three pages a line is no repetition: two copies of one page are not boilerplate. Above, the ratio decides.
 MAX_RATIO, MIN_PAGES = 0.1, 3
@@ -43,17 +43,22 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: i
     rows too; pages with a null host form one host. A null text stays null with no lines; a text of boilerplate only
     becomes the empty text. Other columns stay inside ``row`` and cannot clash; empty tables give no rows.
     """
-    found = small(cut(boilerplate(docs, max_ratio, min_pages, host, text)), 20_000)
+    found = cut(boilerplate(docs, max_ratio, min_pages, host, text))
     bad = found.select(F.col("host").alias("bad_host"), F.col("lines").alias("bad"))
+    # counted by lines, as a host's list is bounded by its ratio and its mean of lines a page, not by a constant
+    if (found.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     joined = docs.select(F.struct("*").alias("row")).join(bad, F.col(f"row.`{host}`").eqNullSafe(F.col("bad_host")), "left")
     body = F.col(f"row.`{text}`")
     none = F.array().cast("array<bigint>")
-    lines = F.transform(F.split(body, "\n", -1), lambda s: F.struct(s.alias("s"), s.rlike(r"[^\x20\x09-\x0D]").alias("has"), F.array_contains(F.coalesce("bad", none), F.xxhash64(normalised_line(s))).alias("bad")))
-    marked = joined.select("row", "bad", lines.alias("lines"))
-    kept = F.filter("lines", lambda x: ~(x["has"] & x["bad"]))
-    return marked.select(
+    lines = F.transform(F.split(body, "\n", -1), lambda s: F.struct(s.alias("s"), F.when(s.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(normalised_line(s))).alias("h")))
+    # each line is hashed once; of the host's list only what the page holds is left (by a hash set) before lines are tested
+    own = F.array_intersect(F.coalesce("bad", none), F.filter(F.transform("lines", lambda x: x["h"]), lambda h: h.isNotNull()))
+    marked = joined.select("row", "bad", lines.alias("lines")).withColumn("own", own)
+    kept = F.filter("lines", lambda x: x["h"].isNull() | ~F.array_contains("own", x["h"]))
+    return marked.select("row", "lines", "own", kept.alias("kept")).select(
         "row",
-        F.when(F.col("bad").isNull() | (F.size(kept) == F.size("lines")), body).otherwise(F.array_join(F.transform(kept, lambda x: x["s"]), "\n")).alias("clean_text"),
-        F.coalesce(F.size(F.filter("lines", lambda x: x["has"])), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines") - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.coalesce(F.size("own") == 0, F.lit(True)), body).otherwise(F.array_join(F.transform("kept", lambda x: x["s"]), "\n")).alias("clean_text"),
+        F.coalesce(F.size(F.filter("lines", lambda x: x["h"].isNotNull())), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
