@@ -161,3 +161,16 @@ def test_pipeline_against_plain_versions(spark):
     assert all(list(r["ids"]) == told.encode(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in encoded)
 
     assert corpus_pipeline.run(spark, SF).count() == len(encoded)
+
+
+@pytest.mark.skipif(os.environ.get("STRATALEDGER_SLOW") != "1", reason="some minutes; set STRATALEDGER_SLOW=1")
+def test_the_relational_form_equals_the_query(spark):
+    """Every document of sf0.001 through explode, equi-join, grouping and the aggregate fold: the ids of the query."""
+    from strataledger.llm import pieces
+
+    small = "/root/testdata/sf0.001"
+    table = pieces.load_pieces()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    relational = {r["doc_id"]: list(pieces._ids(r["pieces"], table)) for r in pieces.encode_relational(docs, table).collect()}
+    asked = {r["doc_id"]: list(r["ids"]) for r in queries.queries()["op3_sentencepiece"](spark, small).collect()}
+    assert len(asked) == docs.count() and {k: v for k, v in asked.items() if v} == relational
