@@ -301,7 +301,7 @@ def test_counterfactuals_pull_scores_of_groups_together():
         y.append(int(toxic))
     gap = {}
     for strength in (0.0, 4.0):
-        model = ftrl.train(rows, y, toxicity.DIM, twins, strength, alpha=0.3, l1=0.5, l2=0.05, epochs=10)
+        model = ftrl.train(rows, y, toxicity.DIM, list(zip(rows, twins, strict=True)), strength, alpha=0.3, l1=0.5, l2=0.05, epochs=10)
         gap[strength] = model.score(toxicity.features("the muslims of the town walk")) - model.score(toxicity.features("the buddhists of the town walk"))
         assert model.score(toxicity.features("the buddhists of the town walk scum")) > model.score(toxicity.features("the buddhists of the town walk"))
     assert gap[0.0] > 0.3 and abs(gap[4.0]) < 0.5 * gap[0.0]
