@@ -101,7 +101,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, max_labe
     """
     sample = ftrl.labelled_sample(labels, label, allowed, max_labelled, doc_id)
     rows, twins, y = ftrl.collect_examples(docs, sample, features_and_twin, doc_id, text)
-    return ftrl.train(rows, y, DIM, with_mentions(rows, twins), invariance, alpha=0.3, l1=9.0, l2=0.05, epochs=10)
+    return ftrl.train(rows, y, DIM, with_mentions(rows, twins), invariance, alpha=1.0, l1=9.0, l2=0.05, epochs=10)
 
 
 def score_toxicity(docs: DataFrame, model: ftrl.Linear, text: str = "text") -> DataFrame:
