@@ -73,11 +73,16 @@ def with_block_ranks(rows: DataFrame) -> DataFrame:
 
 def features(rows: DataFrame, leak_free: bool = False) -> DataFrame:
     """rows with the 17 features. leak_free leaves the unlocking script, known at spending only, out of the sizes."""
+    return of_ranked(with_block_ranks(rows), leak_free)
+
+
+def of_ranked(rows: DataFrame, leak_free: bool = False) -> DataFrame:
+    """The features of rows that have their block ranks: each row's own arithmetic."""
     locking = F.col("locking_script_size")
     size = locking if leak_free else locking + F.coalesce("unlocking_script_size", F.lit(0))
     log_value = F.log10(F.col("value") + F.lit(1.0))
     classes = value_class(F.col("value"))
-    out = with_block_ranks(rows).withColumns(
+    out = rows.withColumns(
         {
             "log_value": log_value, "total_script_size": size, "block_time_proxy": F.col("creation_block") % 144, "creation_epoch": block_epoch(F.col("creation_block")), "is_coinbase": F.col("tx_coinbase").cast("int"),
             "is_likely_change": (F.col("value") < 10_000) & (F.col("value") > 546), "is_likely_savings": F.col("value") > 100_000_000,

@@ -58,8 +58,10 @@ def score(fitted: PipelineModel, rows: DataFrame, hot: float = 0.7, cold: float
 
 
 def evaluate_classifier(fitted: PipelineModel, scored: DataFrame) -> DataFrame:
+    """One row of metrics, worked out at once, so that the rows may go."""
     auc = BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="rawPrediction").evaluate(scored)
-    return scored.agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("target")).cast("double")).alias("accuracy")).withColumn("auc", F.lit(float(auc)))
+    n, accuracy = scored.agg(F.count("*"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("target")).cast("double"))).first()
+    return scored.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(accuracy).cast("double").alias("accuracy"), F.lit(float(auc)).alias("auc"))
 
 
 def cross_validated(rows: DataFrame, folds: int = 5, seed: int = 42) -> tuple[PipelineModel, list[float]]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack, contextmanager
+
 from pyspark.sql import functions as F
 
 from strataledger.functions import scalars
 from strataledger.operators import features, history, survival
 from strataledger.plans.registry import register
+from strataledger.session import written
 from strataledger.sources.txo import txo
 
 _KM = ", d AS (SELECT duration, count(*) AS n, count(*) FILTER (WHERE event) AS deaths FROM txo GROUP BY 1 UNION ALL SELECT 0, 0, 0), a AS (SELECT duration, CAST(sum(n) AS BIGINT) AS n, CAST(sum(deaths) AS BIGINT) AS deaths FROM d GROUP BY 1), r AS (SELECT *, CAST(sum(n) OVER (ORDER BY duration DESC) AS BIGINT) AS at_risk FROM a), km AS (SELECT duration, at_risk, deaths, CASE WHEN max(CASE WHEN deaths = at_risk AND deaths > 0 THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN deaths = at_risk THEN 0 ELSE ln(1 - deaths / CAST(at_risk AS DOUBLE)) END) OVER w) END AS survival FROM r WINDOW w AS (ORDER BY duration))"
@@ -224,6 +227,20 @@ def score_describe(spark, sf_dir):
     )
 
 
+@contextmanager
+def _training_rows(spark, sf_dir):
+    """The split rows with their leak-free features, for a block that passes over them many times.
+
+    What costs shuffles is written to a shared folder before: the outputs, then these with their block ranks. Only columns that
+    features are made of are kept, and each pass makes the features anew.
+    """
+    outputs = features.split(features.clean(txo(spark, sf_dir)), "target", 0.2, "tx_id", "vout")
+    with ExitStack() as stay:
+        with written(outputs.select("creation_block", "value", "locking_script_size", "tx_coinbase", "target", "part"), "outputs") as outputs:
+            ranked = stay.enter_context(written(features.with_block_ranks(outputs), "ranked"))
+        yield features.of_ranked(ranked, leak_free=True)
+
+
 def _models():
     from strataledger.operators import model
 
@@ -236,8 +253,8 @@ def _models():
     @register("forest_hotcold", None)
     def forest_hotcold(spark, sf_dir):
         """Held-out metrics of a forest for spending within the horizon, with the published ratio as the weight of the hot class."""
-        rows = features.split(_features(spark, sf_dir, leak_free=True), "target", 0.2, "tx_id", "vout")
-        return model.evaluate_classifier(*model.train_classifier(rows, positive_weight=model.CLASS_RATIO, kind="forest", **model.FOREST_SETTING | {"rounds": 20}))
+        with _training_rows(spark, sf_dir) as rows:
+            return model.evaluate_classifier(*model.train_classifier(rows, positive_weight=model.CLASS_RATIO, kind="forest", **model.FOREST_SETTING | {"rounds": 20}))
 
     @register("rf_lifetime", None)
     def rf_lifetime(spark, sf_dir):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,3 +35,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shared-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df's rows, written once as Parquet to a shared folder and read from there, which goes when the block ends.
+
+    Shuffles of the write are dropped as soon as it is done: else they stay until the driver happens to collect its garbage.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, path = spark.conf.get(cleanup, None), shared_folder(spark, name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        spark.conf.set(cleanup, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
